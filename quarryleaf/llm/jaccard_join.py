@@ -160,58 +160,74 @@ def _components(firsts: DataFrame, shingle: int, levels: Levels) -> DataFrame:
                     z = slice(a, a + (1 << 16))
                     yield pa.RecordBatch.from_arrays([_long(sig[z]), _long(ids[row[z]]), pa.array(kind[z])], ["sig", "doc_id", "kind"])
 
+    def rows_of(tokens: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens, type=kind))
+
     def sets(it):
         for b in batches(it):
             tokens, off = token_sets(b.column("text"), shingle)
-            values = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), _long(tokens))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _long(np.diff(off)), values], ["doc_id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _long(np.diff(off)), rows_of(tokens.view(np.int64), off, pa.int64())], ["doc_id", "n", "tokens"])
 
-    cell = firsts.mapInArrow(cells, "sig long, doc_id long, kind short")
-    shared = cell.groupBy("sig").agg(F.min("doc_id").alias("leader"), F.count("*").alias("rows")).where("rows > 1")
-    members = written(cell.join(shared, "sig"))
+    def marks(it):
+        for b in batches(it):
+            tokens, off = token_sets(b.column("text"), shingle)
+            short, s_off = textbuf.distinct_sets(tokens & np.uint64(0xFFFF), off)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _long(np.diff(off)), rows_of(short.astype(np.uint16).view(np.int16), s_off, pa.int16())], ["doc_id", "n", "marks"])
 
-    # sets of the documents that share any cell, read again from the text
-    test = member(firsts.sparkSession, bitmap(members.select(bit_of(F.col("doc_id")).alias("pos"))))
-    kept = written(firsts.where(test(bit_of(F.col("doc_id")))).mapInArrow(sets, "doc_id long, n long, tokens array<long>"))
+    def chosen(ids: DataFrame) -> DataFrame:
+        """firsts whose ids are among these, read again from the text (and a few more, let through by the bitmap)."""
+        return firsts.where(member(firsts.sparkSession, bitmap(ids.select(bit_of(F.col("doc_id")).alias("pos"))))(bit_of(F.col("doc_id"))))
 
+    cell = firsts.mapInArrow(cells, "sig long, doc_id long, kind short")
+    shared = cell.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
+    members = written(cell.join(shared, "sig"))
+    small = written(chosen(members).mapInArrow(marks, "doc_id long, n long, marks array<short>"))
     num, den = F.lit(levels.num), F.lit(levels.den)
 
-    def linked(a: str, b: str, na: str, nb: str):
-        common = F.size(F.array_intersect(a, b))
-        return common * den >= num * (F.col(na) + F.col(nb) - common)
-
-    # groups: each document joins the smallest one it shares a cell with, if their sets are linked
-    heads = members.groupBy("doc_id").agg(F.min("leader").alias("head"))
-    pairs = heads.where("head < doc_id")
-    headed = pairs.join(kept.select(F.col("doc_id").alias("head"), F.col("tokens").alias("ht"), F.col("n").alias("hn")), "head")
-    star = headed.join(kept, "doc_id").where(linked("tokens", "ht", "n", "hn")).select("doc_id", "head")
-    tree = heads.select("doc_id").join(star, "doc_id", "left").select(F.col("doc_id").alias("node"), F.coalesce("head", "doc_id").alias("parent"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(q, x) pairs that are linked, by their whole sets."""
+        pairs = written(pairs)
+        both = written(chosen(pairs.select(F.col("q").alias("doc_id")).unionByName(pairs.select(F.col("x").alias("doc_id"))).distinct()).mapInArrow(sets, "doc_id long, n long, tokens array<long>"))
+        left = pairs.join(both.select(F.col("doc_id").alias("x"), F.col("tokens").alias("xt"), F.col("n").alias("xn")), "x")
+        common = F.size(F.array_intersect("tokens", "xt"))
+        return left.join(both.withColumnRenamed("doc_id", "q"), "q").where(common * den >= num * (F.col("n") + F.col("xn") - common)).select("q", "x")
+
+    # groups: each document joins the smaller one at the head of most of its cells, if their sets are linked
+    heads = members.groupBy("sig").agg(F.min("doc_id").alias("head"))
+    same = members.join(heads, "sig").where("head < doc_id").groupBy("doc_id", "head").agg(F.count("*").alias("cells"), F.min(F.expr("kind div 2")).alias("least"))
+    pairs = same.where("cells >= least").groupBy("doc_id").agg(F.max(F.struct("cells", "head")).alias("best")).select(F.col("best.head").alias("q"), F.col("doc_id").alias("x"))
+    star = verified(pairs)
+    tree = small.select("doc_id").join(star.select(F.col("x").alias("doc_id"), "q"), "doc_id", "left").select(F.col("doc_id").alias("node"), F.coalesce("q", "doc_id").alias("parent"))
     group_of = roots(tree)
 
     # cells with documents of several groups; a large bucket counts for unsafe documents only
+    members = members.withColumn("side", F.col("kind") % 2).withColumn("least", F.expr("kind div 2"))
     hot = members.where(F.col("rows") > HOT_BUCKET)
-    unsafe = hot.groupBy("doc_id", (F.col("kind") % 2).alias("side")).agg(F.count("*").alias("hot"), F.min(F.expr("kind div 2 - 1")).alias("spare")).where("hot > spare").select("doc_id", "side")
-    open_cells = members.where(F.col("rows") <= HOT_BUCKET).select("sig", "doc_id").unionByName(
-        hot.withColumn("side", F.col("kind") % 2).join(unsafe, ["doc_id", "side"], "left_semi").select("sig", "doc_id")
-    )
+    lost = hot.groupBy("doc_id", "side").agg(F.count("*").alias("hot"))
+    some = members.join(lost, ["doc_id", "side"], "left").withColumn("unsafe", F.coalesce("hot", F.lit(0)) >= F.col("least"))
+    # a safe document shares at least `least` cells with each linked one, less those in large buckets
+    open_cells = some.where((F.col("rows") <= HOT_BUCKET) | F.col("unsafe")).select(
+        "sig", "doc_id", F.when(F.col("unsafe"), 1).otherwise(F.col("least") - F.coalesce("hot", F.lit(0))).alias("least"))
     placed = open_cells.join(group_of.withColumnRenamed("node", "doc_id"), "doc_id")
     crossing = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top").select("sig")
     cross = written(placed.join(crossing, "sig", "left_semi"))
 
-    # split groups into bounded blocks, each with the union of its tokens
+    # split groups into bounded blocks, each with the union of its tokens, here by 16 bits of their hashes
     blocks = cross.select("doc_id", "comp").distinct()
     of_size = blocks.groupBy("comp").agg(F.ceil(F.count("*") / GROUP_SIZE).alias("cut"))
     blocks = written(blocks.join(of_size, "comp").select("doc_id", "comp", F.pmod(F.xxhash64("doc_id"), "cut").alias("block")))
-    unions = blocks.join(kept, "doc_id").groupBy("comp", "block").agg(
-        F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"), F.min("n").alias("least"), F.max("n").alias("most"))
+    unions = blocks.join(small, "doc_id").groupBy("comp", "block").agg(
+        F.array_distinct(F.flatten(F.collect_list("marks"))).alias("union"), F.min("n").alias("low_n"), F.max("n").alias("top_n"))
     matrix = cross.select("sig", "doc_id").join(blocks, "doc_id").select("sig", "comp", "block").distinct()
-    query = cross.select("sig", F.col("doc_id").alias("q"), F.col("comp").alias("q_comp"))
-    met = query.join(matrix, "sig").where("q_comp < comp").select("q", "comp", "block").distinct()
-    asked = met.join(kept.select(F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("tokens").alias("qt")), "q")
+    query = cross.select("sig", F.col("doc_id").alias("q"), F.col("comp").alias("q_comp"), "least")
+    met = query.join(matrix, "sig").where("q_comp < comp").groupBy("q", "comp", "block").agg(F.count("*").alias("cells"), F.min("least").alias("least")).where("cells >= least").select("q", "comp", "block")
+    asked = met.join(small.select(F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("marks").alias("qm")), "q")
+    most = F.size(F.array_intersect("qm", "union")) + F.col("qn") - F.size("qm")  # of the query's tokens in the union
     bound = asked.join(unions, ["comp", "block"]).where(
-        (F.size(F.array_intersect("qt", "union")) * den >= num * F.col("qn")) & (F.col("most") * den >= num * F.col("qn")) & (F.col("qn") * den >= num * F.col("least")))
-    opened = bound.select("q", "qn", "qt", "comp", "block").join(blocks, ["comp", "block"])
-    found = opened.join(kept, "doc_id").where(linked("qt", "tokens", "qn", "n")).select("q", "doc_id")
+        (most * den >= num * F.col("qn")) & (most * (den + num) >= num * (F.col("qn") + F.col("low_n")))
+        & (F.col("top_n") * den >= num * F.col("qn")) & (F.col("qn") * den >= num * F.col("low_n")))
+    opened = bound.select("q", "qn", "comp", "block").join(blocks, ["comp", "block"]).select("q", F.col("doc_id").alias("x"))
+    found = verified(opened).withColumnRenamed("x", "doc_id")
     named = found.join(group_of.withColumnRenamed("node", "q").withColumnRenamed("comp", "a"), "q")
     edges = named.join(group_of.withColumnRenamed("node", "doc_id").withColumnRenamed("comp", "b"), "doc_id").select("a", "b").distinct()
     merged = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
