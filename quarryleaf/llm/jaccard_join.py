@@ -5,10 +5,10 @@ keeps the union of its tokens. A query meets a group only where their rows of th
 query and union bounds the overlap with every member, and only groups whose bound reaches the threshold are opened.
 
 The cells are exact part signatures rather than single tokens. The hash range is cut into P(size level) parts; the
-signature of a part is the hash of the document's tokens in it. Two linked sets differ in at most d tokens, so of more
-than d non-empty parts one at least is identical in both. A document is "safe" for a level where more than d of its
-parts lie in small buckets: all its links show there, and a bucket with very many documents (a passage that a third of
-the corpus shares) is only looked into for pairs of documents that are both unsafe. Nothing is dropped.
+signature of a part is the hash of the document's tokens in it. Two linked sets differ in at most d tokens, so of m
+non-empty parts m - d at least are identical in both. A document is therefore looked up under its rarest parts only, all
+but the m - d - 1 that most documents have: a passage that a third of the corpus shares makes no pairs, and a document
+whose parts are mostly its own makes none at all. Nothing is dropped.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarryleaf.llm import textbuf
 from quarryleaf.llm.common import batches, bit_of, bitmap, heavy_left_join, member, texts, without_ids, written
 from quarryleaf.llm.components import components, roots
 
-#: Members of a group: a bound on the size of its union. Buckets above HOT_BUCKET are looked into for unsafe pairs only.
-GROUP_SIZE, HOT_BUCKET = 16, 64
-_SLACK = 1.15
+#: Documents of a group: a bound on what a task holds at once. Parts beyond those that links may destroy, as a factor.
+GROUP_SIZE = 64
+_SLACK = 1.3
 _FOREVER = 1 << 40
 
 
@@ -148,6 +149,37 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     return out.select("doc_id", "n_shingles", F.coalesce("comp", "class_id").alias("component_id"), "class_id", "class_size")
 
 
+def open_groups(one: pa.StructArray, other: pa.StructArray, levels: Levels) -> tuple[list[int], list[int]]:
+    """Pairs of two groups (or within one) that may be linked: the overlap of a query with the other group's union, by
+    16 bits of the tokens' hashes, bounds that with every member; groups whose bound is reached are opened, and their
+    members of other components bounded one by one. Tokens that share their 16 bits within a set are added back."""
+    num, den = levels.num, levels.den
+
+    def parts(g: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        marks = g.field("marks")
+        off = np.asarray(marks.offsets)
+        values = marks.values.to_numpy().view(np.uint16)
+        return g.field("doc_id").to_numpy(), g.field("comp").to_numpy(), g.field("n").to_numpy(), [values[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
+
+    (qi, qc, qn, qm), (xi, xc, xn, xm) = parts(one), parts(other)
+    union = np.zeros(1 << 16, dtype=bool)
+    for m in xm:
+        union[m] = True
+    ask = [k for k in range(len(qi)) if den * (np.count_nonzero(union[qm[k]]) + qn[k] - len(qm[k])) >= num * qn[k]]
+    q_out, x_out = [], []
+    mine = np.zeros(1 << 16, dtype=bool)
+    for k in ask:
+        mine[qm[k]] = True
+        fits = np.flatnonzero((xc != qc[k]) & (den * np.minimum(xn, qn[k]) >= num * np.maximum(xn, qn[k])))
+        for j in fits:
+            most = np.count_nonzero(mine[xm[j]]) + min(qn[k] - len(qm[k]), xn[j] - len(xm[j]))
+            if (den + num) * most >= num * (qn[k] + xn[j]):
+                q_out.append(min(qi[k], xi[j]))
+                x_out.append(max(qi[k], xi[j]))
+        mine[qm[k]] = False
+    return q_out, x_out
+
+
 def _components(firsts: DataFrame, shingle: int, levels: Levels) -> DataFrame:
     """(node, comp) of the representatives that share a cell with others; one without any such row is alone."""
 
@@ -180,7 +212,7 @@ def _components(firsts: DataFrame, shingle: int, levels: Levels) -> DataFrame:
 
     cell = firsts.mapInArrow(cells, "sig long, doc_id long, kind short")
     shared = cell.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = written(cell.join(shared, "sig"))
+    members = written(cell.join(shared, "sig").select("sig", "doc_id", "rows", (F.col("kind") % 2).alias("side"), F.expr("kind div 2").alias("least")))
     small = written(chosen(members).mapInArrow(marks, "doc_id long, n long, marks array<short>"))
     num, den = F.lit(levels.num), F.lit(levels.den)
 
@@ -192,42 +224,40 @@ def _components(firsts: DataFrame, shingle: int, levels: Levels) -> DataFrame:
         common = F.size(F.array_intersect("tokens", "xt"))
         return left.join(both.withColumnRenamed("doc_id", "q"), "q").where(common * den >= num * (F.col("n") + F.col("xn") - common)).select("q", "x")
 
-    # groups: each document joins the smaller one at the head of most of its cells, if their sets are linked
+    # groups: each document joins the smaller one at the head of most of its cells; linked ones form components
     heads = members.groupBy("sig").agg(F.min("doc_id").alias("head"))
-    same = members.join(heads, "sig").where("head < doc_id").groupBy("doc_id", "head").agg(F.count("*").alias("cells"), F.min(F.expr("kind div 2")).alias("least"))
-    pairs = same.where("cells >= least").groupBy("doc_id").agg(F.max(F.struct("cells", "head")).alias("best")).select(F.col("best.head").alias("q"), F.col("doc_id").alias("x"))
-    star = verified(pairs)
+    same = members.join(heads, "sig").where("head < doc_id").groupBy("doc_id", "head").agg(F.count("*").alias("cells"), F.min("least").alias("least"))
+    best = written(same.where("cells >= least").groupBy("doc_id").agg(F.max(F.struct("cells", "head")).alias("best")).select("doc_id", "best.head"))
+    star = verified(best.select(F.col("head").alias("q"), F.col("doc_id").alias("x")))
     tree = small.select("doc_id").join(star.select(F.col("x").alias("doc_id"), "q"), "doc_id", "left").select(F.col("doc_id").alias("node"), F.coalesce("q", "doc_id").alias("parent"))
     group_of = roots(tree)
 
-    # cells with documents of several groups; a large bucket counts for unsafe documents only
-    members = members.withColumn("side", F.col("kind") % 2).withColumn("least", F.expr("kind div 2"))
-    hot = members.where(F.col("rows") > HOT_BUCKET)
-    lost = hot.groupBy("doc_id", "side").agg(F.count("*").alias("hot"))
-    some = members.join(lost, ["doc_id", "side"], "left").withColumn("unsafe", F.coalesce("hot", F.lit(0)) >= F.col("least"))
-    # a safe document shares at least `least` cells with each linked one, less those in large buckets
-    open_cells = some.where((F.col("rows") <= HOT_BUCKET) | F.col("unsafe")).select(
-        "sig", "doc_id", F.when(F.col("unsafe"), 1).otherwise(F.col("least") - F.coalesce("hot", F.lit(0))).alias("least"))
-    placed = open_cells.join(group_of.withColumnRenamed("node", "doc_id"), "doc_id")
+    # a document shares `least` cells at least with each linked one: one of them is among its rarest, less `least` - 1
+    own = Window.partitionBy("doc_id", "side", "least")
+    rare = members.withColumn("_at", F.row_number().over(own.orderBy("rows", "sig"))).withColumn("_of", F.count("*").over(own))
+    cells = rare.where("_at <= _of - least + 1").select("sig", "doc_id").distinct()
+    placed = cells.join(group_of.withColumnRenamed("node", "doc_id"), "doc_id")
     crossing = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top").select("sig")
     cross = written(placed.join(crossing, "sig", "left_semi"))
 
-    # split groups into bounded blocks, each with the union of its tokens, here by 16 bits of their hashes
-    blocks = cross.select("doc_id", "comp").distinct()
-    of_size = blocks.groupBy("comp").agg(F.ceil(F.count("*") / GROUP_SIZE).alias("cut"))
-    blocks = written(blocks.join(of_size, "comp").select("doc_id", "comp", F.pmod(F.xxhash64("doc_id"), "cut").alias("block")))
-    unions = blocks.join(small, "doc_id").groupBy("comp", "block").agg(
-        F.array_distinct(F.flatten(F.collect_list("marks"))).alias("union"), F.min("n").alias("low_n"), F.max("n").alias("top_n"))
-    matrix = cross.select("sig", "doc_id").join(blocks, "doc_id").select("sig", "comp", "block").distinct()
-    query = cross.select("sig", F.col("doc_id").alias("q"), F.col("comp").alias("q_comp"), "least")
-    met = query.join(matrix, "sig").where("q_comp < comp").groupBy("q", "comp", "block").agg(F.count("*").alias("cells"), F.min("least").alias("least")).where("cells >= least").select("q", "comp", "block")
-    asked = met.join(small.select(F.col("doc_id").alias("q"), F.col("n").alias("qn"), F.col("marks").alias("qm")), "q")
-    most = F.size(F.array_intersect("qm", "union")) + F.col("qn") - F.size("qm")  # of the query's tokens in the union
-    bound = asked.join(unions, ["comp", "block"]).where(
-        (most * den >= num * F.col("qn")) & (most * (den + num) >= num * (F.col("qn") + F.col("low_n")))
-        & (F.col("top_n") * den >= num * F.col("qn")) & (F.col("qn") * den >= num * F.col("low_n")))
-    opened = bound.select("q", "qn", "comp", "block").join(blocks, ["comp", "block"]).select("q", F.col("doc_id").alias("x"))
-    found = verified(opened).withColumnRenamed("x", "doc_id")
+    # the matrix: groups of at most GROUP_SIZE documents of one head (in expectation), and the cells they have
+    docs = cross.select("doc_id", "comp").distinct().join(best, "doc_id", "left").withColumn("head", F.coalesce("head", "doc_id"))
+    of_size = docs.groupBy("head").agg(F.ceil(F.count("*") / GROUP_SIZE).alias("cut"))
+    grouped = written(docs.join(of_size, "head").select("doc_id", "comp", F.xxhash64("head", F.pmod(F.xxhash64("doc_id"), "cut")).alias("group")))
+    matrix = cross.select("sig", "doc_id", "comp").join(grouped.select("doc_id", "group"), "doc_id").groupBy("sig", "group").agg(F.min("comp").alias("low"), F.max("comp").alias("top"))
+    met = matrix.alias("a").join(matrix.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.group") <= F.col("b.group")) & (F.least("a.low", "b.low") < F.greatest("a.top", "b.top")))
+    met = written(met.select(F.col("a.group").alias("ga"), F.col("b.group").alias("gb")).distinct())
+    held = grouped.join(small, "doc_id").groupBy("group").agg(F.collect_list(F.struct("doc_id", "comp", "n", "marks")).alias("docs"))
+    held = written(held)
+    both = met.join(held.select(F.col("group").alias("ga"), F.col("docs").alias("a")), "ga").join(held.select(F.col("group").alias("gb"), F.col("docs").alias("b")), "gb")
+
+    def opened(it):
+        for batch in it:
+            for one, other in zip(batch.column("a"), batch.column("b"), strict=True):
+                q, x = open_groups(one.values, other.values, levels)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64())], ["q", "x"])
+
+    found = verified(both.select("a", "b").mapInArrow(opened, "q long, x long").distinct()).withColumnRenamed("x", "doc_id")
     named = found.join(group_of.withColumnRenamed("node", "q").withColumnRenamed("comp", "a"), "q")
     edges = named.join(group_of.withColumnRenamed("node", "doc_id").withColumnRenamed("comp", "b"), "doc_id").select("a", "b").distinct()
     merged = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
