@@ -18,6 +18,8 @@ from quarryleaf.llm.common import batches, texts
 
 #: Words of a tokenizer's cache, at most; then it starts anew.
 CACHE_WORDS = 1 << 19
+#: Slots in front of the sorted words: most lookups end there.
+SLOT_BITS = 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,8 +50,9 @@ class WordTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.known, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.slot_hash, self.slot_word = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
 
     def plain(self, text: str) -> bool:
         return self.cached and not self.odd(text) and (text.isascii() or unicodedata.is_normalized("NFC", text)) and not any(x in text for x in self.added)
@@ -67,26 +70,44 @@ class WordTokenizer:
     def _looked_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
         h = textbuf.hash_spans(data, starts, ends)
-        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
-        new = self.known[at] != h if len(self.known) else np.ones(len(h), dtype=bool)
-        if new.any():
-            if len(self.known) > CACHE_WORDS:
-                self._forget()
-                new[:] = True
-            fresh, first = np.unique(h[new], return_index=True)
-            where = np.flatnonzero(new)[first]
-            made = self.whole.encode_batch_fast([data[starts[i] : ends[i]].tobytes().decode() for i in where], add_special_tokens=False)
-            ids = [e.ids for e in made]
-            count = np.array([len(x) for x in ids], dtype=np.int64)
-            begin = len(self.flat) + np.cumsum(count) - count
-            self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32)))
-            known, self.begin, self.count = np.concatenate((self.known, fresh)), np.concatenate((self.begin, begin)), np.concatenate((self.count, count))
-            order = np.argsort(known, kind="stable")
-            self.known, self.begin, self.count = known[order], self.begin[order], self.count[order]
-            at = np.searchsorted(self.known, h)
+        slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = self.slot_word[slot].astype(np.int64)
+        missed = np.flatnonzero(self.slot_hash[slot] != h)
+        if len(missed):
+            at[missed] = self._sought(h[missed])
+            new = missed[at[missed] < 0]
+            if len(new):
+                if len(self.known) > CACHE_WORDS:
+                    self._forget()
+                    return self._looked_up(data, starts, ends)
+                self._learn(h, new, data, starts, ends)
+                at[new] = self._sought(h[new])
         n = self.count[at]
         return self.flat[np.repeat(self.begin[at] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
+    def _sought(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of words by their hashes, -1 for unknown ones."""
+        if not len(self.known):
+            return np.full(len(h), -1)
+        k = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        return np.where(self.known[k] == h, self.number[k], -1)
+
+    def _learn(self, h: np.ndarray, new: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        fresh, first = np.unique(h[new], return_index=True)
+        made = self.whole.encode_batch_fast([data[starts[i] : ends[i]].tobytes().decode() for i in new[first]], add_special_tokens=False)
+        ids = [e.ids for e in made]
+        count = np.array([len(x) for x in ids], dtype=np.int64)
+        number = len(self.count) + np.arange(len(fresh))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(count) - count))
+        self.count = np.concatenate((self.count, count))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), dtype=np.uint32)))
+        known, numbers = np.concatenate((self.known, fresh)), np.concatenate((self.number, number))
+        order = np.argsort(known, kind="stable")
+        self.known, self.number = known[order], numbers[order]
+        slot = (fresh >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        free = self.slot_word[slot] < 0
+        self.slot_hash[slot[free]], self.slot_word[slot[free]] = fresh[free], number[free]
+
     def rows(self, text: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each row. Rows of ASCII and Latin-1 letters are split and looked up together, on their bytes."""
         data, off = textbuf.raw_bytes(text)
