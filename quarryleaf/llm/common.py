@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def batches(it: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slice batches by the bytes of their text column, so that memory follows `most` or the longest text."""
     for batch in it:
         if not batch.num_rows:
@@ -130,6 +131,20 @@ def batches(it: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[pa.Re
             start = end
 
 
+def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of docs, all columns, whose text (null as empty) `keep` accepts; it gets small slices of the column."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            text = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)).cast(pa.string()), "")
+            place = pa.RecordBatch.from_arrays([text, pa.array(np.arange(len(text)))], ["text", "row"])
+            good = [b.column("row").to_numpy()[keep(b.column("text"))] for b in batches(iter([place]))]
+            if good:
+                yield batch.take(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def offsets_of(text: pa.Array) -> np.ndarray:
     """Byte offsets of a string column's rows (one more than rows)."""
     wide = pa.types.is_large_string(text.type)

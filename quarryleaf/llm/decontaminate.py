@@ -6,13 +6,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import batches, texts
+from quarryleaf.llm.common import batches, kept_rows, texts
 
 #: Word edits allowed, as a share of an item's words. Walks, hash tables and sampled positions of a table.
 EDIT_RATE, WALKS, TABLES, SAMPLES = 0.2, 8, 32, 2
@@ -198,19 +197,15 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_
     """docs without contaminated documents, all columns, in one pass without a shuffle."""
     out = docs
     for block in item_blocks(benchmark, rate):
-        out = out.where(_clean(docs.sparkSession.sparkContext.broadcast(block))(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+        out = kept_rows(out, text_col, _clean(docs.sparkSession.sparkContext.broadcast(block)))
     return out
 
 
 def _clean(shared):
-    @F.pandas_udf("boolean")
-    def clean(text: pd.Series) -> pd.Series:
+    def clean(text: pa.Array) -> np.ndarray:
+        h, off = textbuf.words(text, textbuf.PUNCT)
         ok = np.ones(len(text), dtype=bool)
-        batch = pa.RecordBatch.from_arrays([pa.array(text, type=pa.string()), pa.array(np.arange(len(text)))], ["text", "row"])
-        for b in batches(iter([batch])):
-            h, off = textbuf.words(b.column("text"), textbuf.PUNCT)
-            at = b.column("row").to_numpy()
-            ok[[at[x[0]] for x in shared.value.search(h, off)]] = False
-        return pd.Series(ok)
+        ok[[x[0] for x in shared.value.search(h, off)]] = False
+        return ok
 
     return clean

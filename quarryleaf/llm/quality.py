@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import batches, texts
+from quarryleaf.llm.common import batches, kept_rows, texts
 
 BITS = 18
 #: Labelled rows that a model is fitted on, at most; those with the smallest hash of their id.
@@ -107,7 +106,14 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_ro
     return model.weights().astype(np.float32)
 
 
-def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def logits(text: pa.Array, w: np.ndarray) -> np.ndarray:
+    """Sparse dot products of all rows with the weights."""
+    feature, off = ngrams(text)
+    n = np.diff(off)
+    return np.bincount(np.repeat(np.arange(len(n)), n), weights=w[feature], minlength=len(n)) * _SCALE / np.maximum(n, 1) + w[-1]
+
+
+def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (double, 0 to 1), predicted (1 if score >= 0.5) of each row, over its whole text.
 
     A score is a sparse dot product: mean weight of the text's n-grams, and the intercept. Null text counts as empty;
@@ -117,10 +123,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
     def dot(it):
         w = shared.value
         for b in batches(it):
-            feature, off = ngrams(b.column("text"))
-            n = np.diff(off)
-            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=w[feature], minlength=len(n))
-            s = 1 / (1 + np.exp(-np.clip(total * _SCALE / np.maximum(n, 1) + w[-1], -35, 35)))
+            s = 1 / (1 + np.exp(-np.clip(logits(b.column("text"), w), -35, 35)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return texts(docs, id_col, text_col).mapInArrow(dot, "doc_id long, score double, predicted int")
@@ -130,15 +133,7 @@ def keep_good(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> D
     """The documents predicted good, all columns, in one pass without a shuffle; null text counts as empty."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
-    @F.pandas_udf("boolean")
-    def good(text: pd.Series) -> pd.Series:
-        w, out = shared.value, np.empty(len(text), dtype=bool)
-        batch = pa.RecordBatch.from_arrays([pa.array(text, type=pa.string()), pa.array(np.arange(len(text)))], ["text", "row"])
-        for b in batches(iter([batch])):
-            feature, off = ngrams(b.column("text"))
-            n = np.diff(off)
-            total = np.bincount(np.repeat(np.arange(len(n)), n), weights=w[feature], minlength=len(n))
-            out[b.column("row").to_numpy()] = total * _SCALE / np.maximum(n, 1) + w[-1] >= 0
-        return pd.Series(out)
+    def good(text: pa.Array) -> np.ndarray:
+        return logits(text, shared.value) >= 0
 
-    return docs.where(good(F.coalesce(docs[text_col].cast("string"), F.lit(""))))
+    return kept_rows(docs, text_col, good)
