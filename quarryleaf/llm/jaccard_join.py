@@ -35,6 +35,8 @@ class Levels:
     """Size levels for a threshold num / den, a factor of (den / num) ** 3 each, and the parts of each level."""
 
     def __init__(self, num: int, den: int):
+        if num * 10 < den * 7 or num > den:
+            raise ValueError("similarities from 0.7 to 1: below, links may leave no part of a small set whole")
         self.num, self.den, low = num, den, [1]
         while low[-1] < _FOREVER:
             low.append(max(low[-1] + 1, -(-low[-1] * den**3 // num**3)))
