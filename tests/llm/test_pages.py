@@ -182,4 +182,4 @@ def test_every_rule_passes_the_gate():
     assert len(licenses.rules()) > 200
     for _, name, spdx in licenses.LICENSES:
         for alternative in re.split(r"\|(?![^(]*\))", name):
-            assert gate.search(alternative), alternative
+            assert gate.search(alternative.replace("[cs]", "s")), alternative
