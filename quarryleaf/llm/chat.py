@@ -46,13 +46,13 @@ def paths(tree: DataFrame) -> DataFrame:
     leaf and no path; a cycle above a leaf ends its path before a message would come twice.
     """
     here = tree.select("conv", "node", "parent")
-    jump = written(_known_parents(here))
+    jump = written(_known_parents(here).where("parent is not null"))  # later: ancestors at `reach`, of nodes that have one
     key = _same("a.conv", "b.conv")
     leaves = here.alias("a").join(here.alias("b"), key & (F.col("a.node") == F.col("b.parent")), "left_anti").select("a.conv", F.col("a.node").alias("leaf"))
     found = written(leaves.select("conv", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up")))
     reach = 1
     while True:
-        step = found.alias("a").join(jump.where("parent is not null").alias("b"), key & (F.col("a.node") == F.col("b.node"))).select("a.conv", "a.leaf", F.col("b.parent").alias("node"), (F.col("a.up") + reach).alias("up"))
+        step = found.alias("a").join(jump.alias("b"), key & (F.col("a.node") == F.col("b.node"))).select("a.conv", "a.leaf", F.col("b.parent").alias("node"), (F.col("a.up") + reach).alias("up"))
         more = written(step)
         if more.limit(1).count() == 0:
             return found
@@ -61,7 +61,7 @@ def paths(tree: DataFrame) -> DataFrame:
         if new.count() == found.count():  # only messages met before: a cycle
             return found
         found = new
-        jump = written(jump.alias("a").join(jump.alias("b"), key & (F.col("a.parent") == F.col("b.node")), "left").select("a.conv", "a.node", F.col("b.parent").alias("parent")))
+        jump = written(jump.alias("a").join(jump.alias("b"), key & (F.col("a.parent") == F.col("b.node"))).select("a.conv", "a.node", F.col("b.parent").alias("parent")))
         reach *= 2
 
 

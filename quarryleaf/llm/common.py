@@ -101,15 +101,26 @@ def heavy_left_join(left: DataFrame, right: DataFrame, keys: list[str], rows: st
     )
 
 
+def dropped_bits(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The ids in dropped (column _id), their fixed-size bitmap, and one of the other ids of docs that share its bits.
+
+    A row outside the first bitmap is surely not dropped; one in the first and not the second surely is; the few in both
+    need an exact anti join. Ids alone are shuffled for this."""
+    ids = dropped.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null").distinct()
+    bits = bitmap(ids.select(bit_of(F.col("_id")).alias("pos")))
+    mine = docs.select(docs[id_col].cast("long").alias("_id")).where(member(docs.sparkSession, bits)(bit_of(F.col("_id"))))
+    return ids, bits, bitmap(mine.join(ids, "_id", "left_anti").select(bit_of(F.col("_id")).alias("pos")))
+
+
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in dropped. Rows that a fixed-size bitmap of dropped ids can't hold pass
-    straight through; only the others are shuffled to an exact anti join. Rows with a null id stay."""
-    ids = dropped.select(F.col(id_col).cast("long").alias("_id")).where("_id is not null")
-    test = member(docs.sparkSession, bitmap(ids.select(bit_of(F.col("_id")).alias("pos"))))
-    marked = docs.withColumn("_maybe", test(bit_of(F.col(id_col).cast("long"))))
-    sure = marked.where("not _maybe").drop("_maybe")
-    rest = marked.where("_maybe").drop("_maybe")
-    return sure.unionByName(rest.join(ids.distinct(), F.col(id_col).cast("long") == F.col("_id"), "left_anti"))
+    """docs without the rows whose id is in dropped, all columns; rows with a null id stay. Only rows that two
+    fixed-size bitmaps leave open are shuffled to an exact anti join."""
+    ids, bits, others = dropped_bits(docs, dropped, id_col)
+    spark, pos = docs.sparkSession, bit_of(F.col(id_col).cast("long"))
+    flagged = docs.withColumn("_sure", ~member(spark, bits)(pos)).withColumn("_open", member(spark, others)(pos))
+    sure = flagged.where(F.col(id_col).isNull() | F.col("_sure")).drop("_sure", "_open")
+    rest = flagged.where(F.col(id_col).isNotNull() & ~F.col("_sure") & F.col("_open")).drop("_sure", "_open")
+    return sure.unionByName(rest.join(ids, F.col(id_col).cast("long") == F.col("_id"), "left_anti"))
 
 
 def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

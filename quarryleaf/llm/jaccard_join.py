@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import batches, bit_of, bitmap, heavy_left_join, member, texts, without_ids, written
+from quarryleaf.llm.common import batches, bit_of, bitmap, dropped_bits, heavy_left_join, in_bits, texts, written
 from quarryleaf.llm.components import components, roots
 
 #: Documents of a group: a bound on what a task holds at once. Parts beyond those that links may destroy, as a factor.
@@ -121,7 +121,8 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     distinct shingles of `shingle` words (fewer words: the whole sequence; none: the empty set, linked with nothing).
     Documents are linked where den * intersection >= num * union. component_id: the smallest doc_id reachable by links;
     class_id: the smallest doc_id with the same set (its own for the empty set); class_size: rows with that set.
-    Null text counts as empty. Rows with a null id are returned with null component and class. Repeated rows count each.
+    Null text counts as empty. A row with a null id has the component and class of the documents with its set, or null.
+    Repeated rows count each.
     Sets are compared by 64-bit shingle hashes and collapse by a 128-bit hash of the set.
     """
     source = texts(docs, id_col, text_col)
@@ -143,8 +144,7 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     plain = heavy_left_join(rows, classes, ["n_shingles", "ha", "hb"], "class_size", total)
     known = written(plain.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")))
     copies = known.where("class_id <> doc_id").select("doc_id")
-    firsts = without_ids(source.where("doc_id is not null"), copies)
-    links = _components(firsts, shingle, levels)
+    links = _components(Firsts(source.where("doc_id is not null"), copies), shingle, levels)
     sizes = known.groupBy("class_id").agg(F.count("*").alias("_rows"))
     comps = links.join(sizes, links["node"] == sizes["class_id"]).select("class_id", "comp", "_rows")
     out = heavy_left_join(known, comps, ["class_id"], "_rows", total)
@@ -182,7 +182,38 @@ def open_groups(one: pa.StructArray, other: pa.StructArray, levels: Levels) -> t
     return q_out, x_out
 
 
-def _components(firsts: DataFrame, shingle: int, levels: Levels) -> DataFrame:
+class Firsts:
+    """The documents that are no copy of a smaller one, read anew from the source each time they are worked on: one
+    Python step does the choosing and the work. Few rows that the bitmaps leave open are set apart by an exact join."""
+
+    def __init__(self, source: DataFrame, copies: DataFrame):
+        ids, bits, others = dropped_bits(source, copies)
+        self.source = source.withColumn("pos", bit_of(F.col("doc_id")))
+        self.spark = source.sparkSession
+        self.bits = self.spark.sparkContext.broadcast(bits)
+        open_ = self._step(self.source, lambda b: in_bits(bits, b) & in_bits(others, b), lambda it: it, "doc_id long, text string, pos long")
+        self.open = written(open_.join(ids, F.col("doc_id") == F.col("_id"), "left_anti"))
+
+    @staticmethod
+    def _step(df: DataFrame, keep, work, schema: str) -> DataFrame:
+        def run(it):
+            for_work = (b.filter(pa.array(keep(b.column("pos").to_numpy()))) for b in it)
+            yield from work(for_work)
+
+        return df.mapInArrow(run, schema)
+
+    def work(self, run, schema: str, among: DataFrame | None = None) -> DataFrame:
+        """run (an Arrow function of doc_id and text) over all, or over those whose ids are among these and a few more."""
+        copies = self.bits
+        if among is None:
+            first = self._step(self.source, lambda pos: ~in_bits(copies.value, pos), run, schema)
+            return first.unionByName(self._step(self.open, lambda pos: np.ones(len(pos), dtype=bool), run, schema))
+        asked = self.spark.sparkContext.broadcast(bitmap(among.select(bit_of(F.col("doc_id")).alias("pos"))))
+        first = self._step(self.source, lambda pos: ~in_bits(copies.value, pos) & in_bits(asked.value, pos), run, schema)
+        return first.unionByName(self._step(self.open, lambda pos: in_bits(asked.value, pos), run, schema))
+
+
+def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
     """(node, comp) of the representatives that share a cell with others; one without any such row is alone."""
 
     def cells(it):
@@ -208,20 +239,17 @@ def _components(firsts: DataFrame, shingle: int, levels: Levels) -> DataFrame:
             short, s_off = textbuf.distinct_sets(tokens & np.uint64(0xFFFF), off)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), _long(np.diff(off)), rows_of(short.astype(np.uint16).view(np.int16), s_off, pa.int16())], ["doc_id", "n", "marks"])
 
-    def chosen(ids: DataFrame) -> DataFrame:
-        """firsts whose ids are among these, read again from the text (and a few more, let through by the bitmap)."""
-        return firsts.where(member(firsts.sparkSession, bitmap(ids.select(bit_of(F.col("doc_id")).alias("pos"))))(bit_of(F.col("doc_id"))))
-
-    cell = firsts.mapInArrow(cells, "sig long, doc_id long, kind short")
+    cell = firsts.work(cells, "sig long, doc_id long, kind short")
     shared = cell.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
     members = written(cell.join(shared, "sig").select("sig", "doc_id", "rows", (F.col("kind") % 2).alias("side"), F.expr("kind div 2").alias("least")))
-    small = written(chosen(members).mapInArrow(marks, "doc_id long, n long, marks array<short>"))
+    small = written(firsts.work(marks, "doc_id long, n long, marks array<short>", members))
     num, den = F.lit(levels.num), F.lit(levels.den)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(q, x) pairs that are linked, by their whole sets."""
         pairs = written(pairs)
-        both = written(chosen(pairs.select(F.col("q").alias("doc_id")).unionByName(pairs.select(F.col("x").alias("doc_id"))).distinct()).mapInArrow(sets, "doc_id long, n long, tokens array<long>"))
+        ids = pairs.select(F.col("q").alias("doc_id")).unionByName(pairs.select(F.col("x").alias("doc_id")))
+        both = written(firsts.work(sets, "doc_id long, n long, tokens array<long>", ids))
         left = pairs.join(both.select(F.col("doc_id").alias("x"), F.col("tokens").alias("xt"), F.col("n").alias("xn")), "x")
         common = F.size(F.array_intersect("tokens", "xt"))
         return left.join(both.withColumnRenamed("doc_id", "q"), "q").where(common * den >= num * (F.col("n") + F.col("xn") - common)).select("q", "x")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import batches, bit_of, bitmap, heavy_left_join, member, texts, written
+from quarryleaf.llm.common import BITMAP_BITS, batches, bit_of, bitmap, heavy_left_join, in_bits, member, texts, written
 
 #: A chunk ends after a line where the rolling hash of WINDOW lines has its lowest BOUNDARY_BITS bits clear.
 WINDOW, BOUNDARY_BITS = 2, 1
@@ -69,17 +69,19 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
             c = chunks(b.column("text"))
             yield pa.RecordBatch.from_arrays([pa.array(c["fp"])], ["fp"])
 
-    bits = bitmap(source.mapInArrow(prints, "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select(bit_of(F.col("fp")).alias("pos")))
-    test = member(spark, bits)
+    again = source.mapInArrow(prints, "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    bits = spark.sparkContext.broadcast(bitmap(again.select(F.col("fp").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("pos"))))
 
     def bodies(it):
         for b in batches(it):
             c = chunks(b.column("text"))
-            raw = c["data"].tobytes()
+            raw = c.pop("data").tobytes()
+            maybe = in_bits(bits.value, c["fp"] & (BITMAP_BITS - 1))
+            c = {k: v[maybe] for k, v in c.items()}
             body = pa.array([raw[i:j] for i, j in zip(c["b0"], c["b1"], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c["row"])), pa.array(c["at"].astype(np.int64)), pa.array(c["lines"].astype(np.int64)), pa.array(c["fp"]), body], ["doc_id", "at", "lines", "fp", "body"])
 
-    places = source.mapInArrow(bodies, "doc_id long, at long, lines long, fp long, body binary").where(test(bit_of(F.col("fp"))))
+    places = source.mapInArrow(bodies, "doc_id long, at long, lines long, fp long, body binary")
     # equal bytes meet in one group, combined before the shuffle
     groups = places.groupBy("fp", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1")
     groups = written(groups.select("fp", F.unhex(F.sha2("body", 256)).alias("sha"), "first", "places"))
