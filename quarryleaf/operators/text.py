@@ -33,7 +33,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: f
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    scored = asked.join(df, "term").join(tf, "term").join(F.broadcast(size)).groupBy("query_id", "doc_id").agg(F.sum(weight * F.col("times")).alias("score"))
+    scored = asked.join(df, "term").join(tf, "term").join(F.broadcast(size)).groupBy("query_id", "doc_id").agg(F.round(F.sum(weight * F.col("times")), 9).alias("score"))
     return top_k(scored.where("score > 0"), "query_id", "score", "doc_id", k)
 
 
@@ -93,7 +93,7 @@ def class_tfidf(docs: DataFrame, epoch: str, theme: str, text_col: str = "text",
     kept = tf.join(F.broadcast(vocab), "term")  # at most `vocabulary` rows
     e = Window.partitionBy(epoch)
     themes = kept.groupBy(epoch).agg((F.sum("tf") / F.count_distinct(theme)).alias("a"))
-    scored = kept.withColumn("f", F.sum("tf").over(e.partitionBy(epoch, "term"))).join(themes, epoch).withColumn("score", F.col("tf") * F.ln(1 + F.col("a") / F.col("f")))
+    scored = kept.withColumn("f", F.sum("tf").over(e.partitionBy(epoch, "term"))).join(themes, epoch).withColumn("score", F.round(F.col("tf") * F.ln(1 + F.col("a") / F.col("f")), 9))
     w = Window.partitionBy(epoch, theme).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select(epoch, theme, "rank", "term", "score")
 

@@ -20,10 +20,10 @@ def _(spark, d):
 
 
 @query("margin_sample", """WITH m AS (SELECT doc_id, (doc_id * 7919 % 1000) / 1000.0 - 0.5 AS margin FROM documents), s AS (SELECT doc_id, margin, CASE WHEN margin < -0.1 THEN 0 WHEN margin < 0 THEN 1 WHEN margin < 0.1 THEN 2 ELSE 3 END AS stratum FROM m)
-SELECT doc_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id || '|' || 42), doc_id) AS r FROM s) WHERE r <= 25""")
+SELECT doc_id, stratum FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY md5(doc_id || '|' || 42), doc_id) AS r FROM s) WHERE r <= 10""")
 def _(spark, d):
     i = F.col("doc_id")
-    return op.margin_sample(table(spark, d, "documents").select(i, ((i * 7919 % 1000) / 1000.0 - 0.5).alias("margin")), "doc_id", "margin").select("doc_id", "stratum")
+    return op.margin_sample(table(spark, d, "documents").select(i, ((i * 7919 % 1000) / 1000.0 - 0.5).alias("margin")), "doc_id", "margin", 40).select("doc_id", "stratum")
 
 
 @query("proportional_interleave", "SELECT doc_id, round((row_number() OVER (PARTITION BY source ORDER BY doc_id) - 0.5) / count(*) OVER (PARTITION BY source), 9) AS position FROM documents")

@@ -31,7 +31,7 @@ _BM25 = rf"""q AS (SELECT item_id AS query_id, array_to_string(string_split(text
 a AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), {_T})) AS term FROM q) WHERE length(term) > 1 GROUP BY 1, 2),
 w AS (SELECT doc_id, regexp_extract_all(lower(text), {_T}) AS ts FROM documents), l AS (SELECT doc_id, greatest(len(ts), 1) AS dl FROM w), s AS (SELECT count(*) AS n, avg(dl) AS adl FROM l),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM w) WHERE term IN (SELECT term FROM a) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-sc AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / adl))) AS score FROM a JOIN df USING (term) JOIN tf USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2),
+sc AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / adl))), 9) AS score FROM a JOIN df USING (term) JOIN tf USING (term) JOIN l USING (doc_id), s GROUP BY 1, 2),
 r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)"""
 
 
@@ -81,7 +81,7 @@ def _(spark, d):
 @query("class_tfidf", rf"""WITH {_DOCS}, e AS (SELECT *, CASE WHEN year < 2010 THEN 1 WHEN year < 2018 THEN 2 ELSE 3 END AS epoch FROM d), big AS (SELECT epoch FROM e GROUP BY 1 HAVING count(*) >= 10 AND count(DISTINCT lang) >= 2),
 w AS (SELECT epoch, lang, unnest(regexp_extract_all(lower(text), {_T})) AS term FROM e WHERE epoch IN (SELECT epoch FROM big)), tf AS (SELECT epoch, lang, term, count(*) AS tf FROM w WHERE length(term) > 1 AND term NOT IN ({_STOP}) GROUP BY 1, 2, 3),
 vo AS (SELECT term FROM tf GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 1500), k AS (SELECT * FROM tf WHERE term IN (SELECT term FROM vo)), a AS (SELECT epoch, sum(tf) / count(DISTINCT lang) AS a FROM k GROUP BY 1),
-s AS (SELECT epoch, lang, term, tf * ln(1 + a / sum(tf) OVER (PARTITION BY epoch, term)) AS score FROM k JOIN a USING (epoch)), r AS (SELECT *, row_number() OVER (PARTITION BY epoch, lang ORDER BY round(score, 6) DESC, term) AS rank FROM s)
+s AS (SELECT epoch, lang, term, tf * ln(1 + a / sum(tf) OVER (PARTITION BY epoch, term)) AS score FROM k JOIN a USING (epoch)), r AS (SELECT *, row_number() OVER (PARTITION BY epoch, lang ORDER BY round(score, 9) DESC, term) AS rank FROM s)
 SELECT epoch, lang, term, CAST(rank AS INT) AS rank, round(score, 4) AS score FROM r WHERE rank <= 5""")
 def _(spark, d):
     docs = documents(spark, d).withColumn("epoch", F.when(F.col("year") < 2010, 1).when(F.col("year") < 2018, 2).otherwise(3))

@@ -37,7 +37,7 @@ def csv_rows(spark: SparkSession, path: str, doi_column: str = "DOI") -> DataFra
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
                 reader = csv.DictReader(io.StringIO(bytes(content).decode("utf-8-sig")))
                 rows = [{k: (v if v and v.strip() else None) for k, v in r.items() if k is not None and not isinstance(v, list)} for r in reader]
-                yield pd.DataFrame({"file": [file] * len(rows), "row_index": range(len(rows)), "fields": [list(r.items()) for r in rows]})
+                yield pd.DataFrame({"file": [file] * len(rows), "row_index": range(len(rows)), "fields": rows})
 
     raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row_index long, fields map<string,string>")
     return raw.select("file", "row_index", normal_doi(F.try_element_at("fields", F.lit(doi_column))).alias("doi"), "fields")
@@ -99,7 +99,7 @@ def bib_rows(files: DataFrame) -> DataFrame:
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             rows = [(p, *e) for p, c in zip(pdf["path"], pdf["content"], strict=True) for e in bib_entries(c or "")]
-            yield pd.DataFrame([(p, k, t, list(f.items())) for p, k, t, f in rows], columns=["path", "key", "entry_type", "fields"])
+            yield pd.DataFrame(rows, columns=["path", "key", "entry_type", "fields"])
 
     raw = files.select("path", "content").mapInPandas(run, "path string, key string, entry_type string, fields map<string,string>")
     return raw.select("*", normal_doi(F.try_element_at("fields", F.lit("doi"))).alias("doi"))
