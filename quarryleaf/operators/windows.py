@@ -85,7 +85,7 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     weighted = F.sum(F.col("v") * F.col("n") * (2 * F.col("upto") - F.col("n") + 1) / 2)
     sums = counts.agg(weighted.alias("ix"), F.sum(F.col("v") * F.col("n")).alias("x"), F.sum("n").alias("n"))
     n = F.col("n")
-    return sums.select(F.when((n < 2) | (F.col("x") == 0), 0.0).otherwise(2 * F.col("ix") / (n * F.col("x")) - (n + 1) / n).alias("gini"))
+    return sums.select(F.when(n.isNull() | (n < 2) | (F.col("x") == 0), 0.0).otherwise(2 * F.col("ix") / (n * F.col("x")) - (n + 1) / n).alias("gini"))
 
 
 def bradford_zones(counts: DataFrame, key: str, n: str, zones: int = 3) -> DataFrame:
