@@ -93,7 +93,7 @@ def heavy_left_join(left: DataFrame, right: DataFrame, keys: list[str], rows: st
     heavy = F.col(rows) > F.lit(max(1.0, total * HEAVY_SHARE))
     hot = right.where(heavy).select(*keys, F.struct(*more).alias("_hot"))
     rest = right.where(~heavy).select(*keys, F.lit(0).alias("_salt"), F.struct(*more).alias("_rest"))
-    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*left.columns, F.monotonically_increasing_id()), F.lit(4096)).cast("int"))
+    spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int"))
     return (
         left.join(F.broadcast(hot), keys, "left").withColumn("_salt", spread)
         .join(rest, [*keys, "_salt"], "left")
