@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bits of a broadcast membership bitmap: 8 MiB whatever the input; a fuller bitmap only lets more rows through to the
 #: exact join behind it.
 BITMAP_BITS = 1 << 26
-_BLOCK = 1 << 16
+_BLOCK = 1 << 12  # bytes of one of Spark's partial bitmaps
 #: A key with more than this share of the rows is heavy: at most 1 / HEAVY_SHARE keys can be, so they may be broadcast.
 HEAVY_SHARE = 0.001
 
@@ -29,12 +28,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return it without its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table under the shared checkpoint folder and read it again; columns stay prunable."""
     spark = df.sparkSession
@@ -49,27 +42,18 @@ def bit_of(*cols: Column) -> Column:
 
 
 def bitmap(positions: DataFrame) -> np.ndarray:
-    """The packed bitmap (BITMAP_BITS / 8 bytes, a fixed size) of the positions in the only column of the input."""
-    name = positions.columns[0]
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(_BLOCK, dtype=np.uint8)
-        bits[pdf["pos"].to_numpy() & (_BLOCK - 1)] = 1
-        return pd.DataFrame({"block": [key[0]], "bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
-
-    blocks = (
-        positions.select(F.col(name).alias("pos")).where("pos is not null").distinct()
-        .groupBy(F.shiftright("pos", 16).alias("block")).applyInPandas(pack, "block long, bits binary")
-    )
+    """The bitmap (BITMAP_BITS / 8 bytes, a fixed size) of the positions in the only column of the input; partial bitmaps
+    are combined before the one shuffle."""
+    pos = F.col(positions.columns[0]) + 1  # Spark counts these positions from 1
+    blocks = positions.where(F.col(positions.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(pos).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bits"))
     out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    step = _BLOCK // 8
     for row in blocks.toLocalIterator():
-        out[row.block * step : (row.block + 1) * step] = np.frombuffer(zlib.decompress(row.bits), dtype=np.uint8)
+        out[(row.block - 1) * _BLOCK : row.block * _BLOCK] = np.frombuffer(row.bits, dtype=np.uint8)
     return out
 
 
 def in_bits(bits: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    return (bits[pos >> 3] >> (7 - (pos & 7)).astype(np.uint8)) & 1 == 1
+    return (bits[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
 
 
 def member(spark: SparkSession, bits: np.ndarray):
