@@ -65,7 +65,7 @@ SELECT query_id, round(coalesce(found / n, 0), 6) AS recall, round(coalesce(1 /
 def _(spark, d):
     docs = table(spark, d, "documents")
     # a stated set of passages against all documents
-    relevant = docs.join(F.broadcast(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_t"))), F.contains("text", "_t")).select("query_id", "doc_id")
+    relevant = docs.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_t")), F.contains("text", "_t")).select("query_id", "doc_id")
     return rounded(op.ranking_quality(op.bm25(docs, queries_of(spark, d), 20), relevant, 10), 6, "recall", "mrr", "ndcg")
 
 
