@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 #: exact join behind it.
 BITMAP_BITS = 1 << 26
 _BLOCK = 1 << 12  # bytes of one of Spark's partial bitmaps
+BATCH_ROWS = 512
 #: A key with more than this share of the rows is heavy: at most 1 / HEAVY_SHARE keys can be, so they may be broadcast.
 HEAVY_SHARE = 0.001
 
@@ -28,12 +30,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a step runs, Arrow batches of BATCH_ROWS rows at most: rows hold whole texts, and both sides of the Python
+    boundary hold several batches at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table under the shared checkpoint folder and read it again; columns stay prunable."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -47,7 +64,9 @@ def bitmap(positions: DataFrame) -> np.ndarray:
     pos = F.col(positions.columns[0]) + 1  # Spark counts these positions from 1
     blocks = positions.where(F.col(positions.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(pos).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bits"))
     out = np.zeros(BITMAP_BITS // 8, dtype=np.uint8)
-    for row in blocks.toLocalIterator():
+    with small_batches(positions.sparkSession):
+        found = blocks.collect()  # 2048 rows of 4 KiB at most
+    for row in found:
         out[(row.block - 1) * _BLOCK : row.block * _BLOCK] = np.frombuffer(row.bits, dtype=np.uint8)
     return out
 
