@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+pa.set_memory_pool(pa.system_memory_pool())  # workers give freed batches back; an executor's limit counts them
+
 #: Bits of a broadcast membership bitmap: 8 MiB whatever the input; a fuller bitmap only lets more rows through to the
 #: exact join behind it.
 BITMAP_BITS = 1 << 26
@@ -131,7 +133,7 @@ def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def batches(it: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def batches(it: Iterator[pa.RecordBatch], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
     """Slice batches by the bytes of their text column, so that memory follows `most` or the longest text."""
     for batch in it:
         if not batch.num_rows:

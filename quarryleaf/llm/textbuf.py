@@ -9,7 +9,7 @@ from quarryleaf.llm.common import offsets_of
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _Q = np.uint64(0xD6E8FEB86659FD93)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _NOT_ALNUM = np.zeros(256, dtype=bool)
@@ -61,7 +61,7 @@ def spans(data: np.ndarray, off: np.ndarray, is_sep: np.ndarray) -> tuple[np.nda
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, by differences of a prefix polynomial; worked in pieces of about 1 MiB."""
+    """A 64-bit hash of each span, by differences of a prefix polynomial; worked in pieces of about 256 KiB."""
     out = np.empty(len(starts), dtype=np.uint64)
     k = 0
     while k < len(starts):
