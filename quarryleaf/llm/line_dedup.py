@@ -1,19 +1,20 @@
-"""Removal of repeated passages by content-defined chunks of lines."""
+"""Removal of repeated passages by content-defined chunks of lines, which overlap."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import textbuf
 from quarryleaf.llm.common import BITMAP_BITS, batches, bit_of, bitmap, heavy_left_join, in_bits, member, texts, written
 
-#: A chunk ends after a line where the rolling hash of WINDOW lines has its lowest BOUNDARY_BITS bits clear.
-WINDOW, BOUNDARY_BITS = 2, 1
-#: Chunks of fewer lines or words are left alone: bare separators and braces are no passages.
-MIN_LINES, MIN_WORDS = 2, 10
+#: Chunks have so many words at least: bare separators and braces are no passages.
+MIN_WORDS = 10
 
 
 def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,36 +31,55 @@ def line_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def chunks(text: pa.Array) -> dict[str, np.ndarray]:
-    """Multi-line chunks of all rows: row, at (first line), lines, start and end bytes, fp (64-bit hash of the lines)."""
+    """Chunks of all rows: row, at (first line), lines, start and end bytes, fp (64-bit hash of the bytes).
+
+    From each line on, the fewest lines with MIN_WORDS words, and up to each line, the fewest lines with as many. A run of
+    lines with MIN_WORDS words or more is covered by chunks inside it, whatever stands around it: those that start at its
+    lines and that which ends at its last line."""
     data, off = textbuf.raw_bytes(text)
     starts, ends, row = line_spans(data, off)
-    h = textbuf.hash_spans(data, starts, ends)
-    first = np.append(True, row[1:] != row[:-1])
-    number = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
-    rolled = np.zeros(len(h), dtype=np.uint64)
-    for back in range(WINDOW):
-        shifted = np.concatenate((np.zeros(min(back, len(h)), np.uint64), h[: max(0, len(h) - back)]))
-        rolled = rolled * np.uint64(3) + np.where(number >= back, shifted, np.uint64(0))
-    closes = (textbuf.mix(rolled) & np.uint64((1 << BOUNDARY_BITS) - 1)) == 0
-    opens = first | np.append(True, closes[:-1])
-    at = np.flatnonzero(opens)
-    end = np.append(at[1:], len(row))
-    chunk = np.repeat(np.arange(len(at)), end - at)
-    fp = np.add.reduceat(textbuf.mix(h + (np.arange(len(row)) - at[chunk]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at)
+    lines = len(row)
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+    last = np.append(first[1:], lines)
     word_starts, _ = textbuf.spans(data, off, textbuf.SPACES)
+    words = np.append(np.searchsorted(word_starts, starts), len(word_starts))  # before each line
+    line = np.arange(lines)
+    onward = np.searchsorted(words, words[:-1] + MIN_WORDS)
+    back = np.searchsorted(words, words[1:] - MIN_WORDS, side="right") - 1
+    fits, fits_back = onward <= last[row], back >= first[row]
+    at = np.concatenate((line[fits], back[fits_back]))
+    end = np.concatenate((onward[fits], line[fits_back] + 1))
+    order = np.lexsort((end, at))  # then both are in order: of two chunks, none is inside the other
+    at, end = at[order], end[order]
+    new = np.append(True, (at[1:] != at[:-1]) | (end[1:] != end[:-1]))[: len(at)]
+    at, end = at[new], end[new]
     b0, b1 = starts[at], ends[end - 1]
-    words = np.searchsorted(word_starts, b1) - np.searchsorted(word_starts, b0)
-    keep = (end - at >= MIN_LINES) & (words >= MIN_WORDS)
-    return {"row": row[at][keep], "at": number[at][keep], "lines": (end - at)[keep], "b0": b0[keep], "b1": b1[keep], "fp": textbuf.mix(fp)[keep].view(np.int64), "data": data}
+    return {"row": row[at], "at": at - first[row[at]], "lines": end - at, "b0": b0, "b1": b1, "fp": textbuf.hash_spans(data, b0, b1).view(np.int64), "data": data}
+
+
+def runs(it):
+    """Overlapping and adjoining (at, lines) of each row, in order, as disjoint ones."""
+    for batch in it:
+        removed = batch.column("removed")
+        found, row = removed.flatten(), np.repeat(np.arange(len(removed)), pc.list_value_length(removed).to_numpy())
+        at = found.field("at").to_numpy() + (row << 40)
+        reach = np.maximum.accumulate(at + found.field("lines").to_numpy())
+        opens = np.flatnonzero(np.append(True, (at[1:] > reach[:-1]) | (row[1:] != row[:-1]))[: len(at)])
+        end = reach[np.append(opens[1:], len(at))[: len(opens)] - 1]
+        off = np.searchsorted(row[opens], np.arange(len(removed) + 1)).astype(np.int32)
+        cuts = pa.StructArray.from_arrays([pa.array(at[opens] & ((1 << 40) - 1)), pa.array(end - at[opens])], ["at", "lines"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), cuts)], ["doc_id", "removed"])
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text, n_lines, n_removed_lines, removed (array of first line and number of lines).
 
-    Lines end at \\n. Of a chunk of at least two lines and ten words that stands in several places with the same bytes,
-    the place with the smallest doc_id, then first line, stays; the lines of the others are taken out of their texts.
+    Lines end at \\n. Of a run of lines with ten words or more that stands in several places with the same bytes, the place
+    with the smallest doc_id, then first line, stays; the lines of the others are taken out of their texts, but for places
+    that overlap the first. Every line that is taken out stands in an earlier place, so each stays somewhere.
     Null text counts as empty; null ids come before others and their rows stay whole; repeated rows of one id are
-    treated alike. Text of documents without a repeated chunk is not shuffled.
+    treated alike. Text of documents without a repeated chunk is not shuffled. Chunks are the same if their 64-bit hash and
+    SHA-256 are.
     """
     source = texts(docs, id_col, text_col)
     spark = docs.sparkSession
@@ -72,30 +92,30 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     again = source.mapInArrow(prints, "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
     bits = spark.sparkContext.broadcast(bitmap(again.select(F.col("fp").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("pos"))))
 
-    def bodies(it):
+    def shas(it):
         for b in batches(it):
             c = chunks(b.column("text"))
             raw = c.pop("data").tobytes()
             maybe = in_bits(bits.value, c["fp"] & (BITMAP_BITS - 1))
             c = {k: v[maybe] for k, v in c.items()}
-            body = pa.array([raw[i:j] for i, j in zip(c["b0"], c["b1"], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c["row"])), pa.array(c["at"].astype(np.int64)), pa.array(c["lines"].astype(np.int64)), pa.array(c["fp"]), body], ["doc_id", "at", "lines", "fp", "body"])
-
-    places = source.mapInArrow(bodies, "doc_id long, at long, lines long, fp long, body binary")
-    # equal bytes meet in one group, combined before the shuffle
-    groups = places.groupBy("fp", "body").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1")
-    groups = written(groups.select("fp", F.unhex(F.sha2("body", 256)).alias("sha"), "first", "places"))
-    light = written(places.select("doc_id", "at", "lines", "fp", F.unhex(F.sha2("body", 256)).alias("sha")))
+            sha = pa.array([hashlib.sha256(raw[i:j]).digest() for i, j in zip(c["b0"], c["b1"], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c["row"])), pa.array(c["at"]), pa.array(c["lines"]), pa.array(c["fp"]), sha], ["doc_id", "at", "lines", "fp", "sha"])
+
+    # long chunks are as light as short ones: their SHA-256 stands for their bytes
+    light = written(source.mapInArrow(shas, "doc_id long, at long, lines long, fp long, sha binary"))
+    groups = written(light.groupBy("fp", "sha").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1"))
     met = heavy_left_join(light, groups, ["fp", "sha"], "places", light.count()).where("first is not null and doc_id is not null")
-    gone = met.where(~(F.struct("doc_id", "at") == F.col("first")))
-    cuts = written(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "lines"))).alias("removed")))
+    gone = met.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") < F.col("first.at") + F.col("lines"))))
+    cuts = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "lines"))).alias("removed"))
+    cuts = written(cuts.mapInArrow(runs, "doc_id long, removed array<struct<at:bigint,lines:bigint>>"))
 
     lines = F.split("text", "\n", -1)
     none = F.array().cast("array<struct<at:bigint,lines:bigint>>")
     touched = member(spark, bitmap(cuts.select(bit_of(F.col("doc_id")).alias("pos"))))
     marked = source.withColumn("_maybe", touched(bit_of(F.col("doc_id"))))
     whole = marked.where("not _maybe").select("doc_id", "text", none.alias("removed"))
-    some = marked.where("_maybe").select("doc_id", "text").join(cuts, "doc_id", "left").select("doc_id", "text", F.coalesce("removed", none).alias("removed"))
+    # merged at any size: cuts grow with the documents, so a broadcast of few would not last
+    some = marked.where("_maybe").select("doc_id", "text").join(cuts.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("removed", none).alias("removed"))
     out = whole.unionByName(some).withColumn("lines", lines)
     left = F.filter("lines", lambda line, i: ~F.exists("removed", lambda c: (i >= c["at"]) & (i < c["at"] + c["lines"])))
     n = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, c: acc + c["lines"])

@@ -194,3 +194,46 @@ def test_line_boundaries_resist_shifts():
 def test_line_dedup_odd_rows(spark, odd_docs, no_docs):
     assert line_dedup.drop_repeated_chunks(odd_docs).count() == odd_docs.count()
     assert line_dedup.drop_repeated_chunks(no_docs).count() == 0
+
+
+def shared_runs(rows, least):
+    """All maximal runs of lines with more than `least` words that stand in an earlier document too: {doc: [(start, end)]}."""
+    before, out = {}, {}
+    for d, text in sorted(rows):
+        lines, prev = text.split("\n"), {}
+        for p, line in enumerate([*lines, None]):
+            now = {q: prev.get((q[0], q[1] - 1), 0) + 1 for q in before.get(line, ())}
+            for q, m in prev.items():
+                if (q[0], q[1] + 1) not in now and sum(len(x.split()) for x in lines[p - m : p]) > least:
+                    out.setdefault(d, []).append((p - m, p))
+            prev = now
+        for p, line in enumerate(lines):
+            before.setdefault(line, []).append((d, p))
+    return out
+
+
+def test_line_dedup_takes_every_shared_passage(spark):
+    """Passages of one line and of many short or blank ones, whole in other surroundings, against a search of all runs."""
+    rng = random.Random(8)
+    sizes = [[60], [30, 30], [51, 0, 0], [5] * 12, [1] * 55, [0, 4, 9, 0, 3, 40, 2, 1], [20, 20, 20]]
+    passages = [[" ".join(f"p{k}x{i}x{j}" for j in range(n)) for i, n in enumerate(s)] for k, s in enumerate(sizes)]
+    rows = []
+    for d in range(60):
+        own = [sentences(rng, rng.choice([0, 1, 3, 8, 15])) for _ in range(rng.randint(1, 8))]
+        for p in rng.sample(passages, 2):
+            at = rng.randint(0, len(own))
+            own[at:at] = p
+        rows.append((d, "\n".join(own)))
+    rows.append((60, "\n".join(f"again {i % 3}" for i in range(30))))
+    got = {r.doc_id: r for r in line_dedup.drop_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    gone = {d: {i for c in r.removed for i in range(c["at"], c["at"] + c["lines"])} for d, r in got.items()}
+    passed, texts = shared_runs(rows, 50), dict(rows)
+    assert len(passed) > 40
+    for d, found in passed.items():
+        assert all(i in gone[d] for a, b in found for i in range(a, b)), d
+    allowed = {d: {i for a, b in found for i in range(a, b)} for d, found in shared_runs(rows, line_dedup.MIN_WORDS - 1).items()}
+    for d, r in got.items():
+        assert d == 60 or gone[d] <= allowed.get(d, set())
+        lines = texts[d].split("\n")
+        assert r.n_removed_lines == len(gone[d]) and r.text == "\n".join(x for i, x in enumerate(lines) if i not in gone[d])
+    assert {x for _, t in rows for x in t.split("\n") if x} == {x for r in got.values() for x in r.text.split("\n") if x}
