@@ -179,19 +179,52 @@ def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(np.fromiter((indel_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)), dtype=float, count=len(a)))
 
 
-def best_matches(queries: DataFrame, names: DataFrame, query: str, name: str, least: float = 85.0, blocking: int = 3) -> DataFrame:
+def _letters(texts: list[str]) -> np.ndarray:
+    """How often each text has the letters of each of 64 buckets."""
+    out = np.zeros((64, len(texts)), dtype=np.int32)
+    for i, text in enumerate(texts):
+        for ch in text:
+            out[ord(ch) & 63, i] += 1
+    return out
+
+
+def best_matches(queries: DataFrame, names: DataFrame, query: str, name: str, least: float = 85.0, block: int = 1024) -> DataFrame:
     """(query, name, score): the most similar name of each query by token-sort ratio if it reaches `least`, else nulls;
-    ties: the smaller name. Only pairs that share a word's beginning of `blocking` letters are compared: blocks keep
-    the comparison from being a product of both sides, and a pair without any shared beginning scores below 85."""
+    ties: the smaller name. Every query meets every name, in blocks of about `block` rows of either side: the letters
+    that two texts have in common bound their ratio from above, and pairs are compared from the largest bound on until
+    it is below `least` or the best ratio found."""
     q = queries.select(F.col(query).alias("query")).where("query is not null").distinct()
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
-
-    def keyed(df: DataFrame, c: str) -> DataFrame:
-        starts = F.array_distinct(F.transform(F.split(sorted_words(F.col(c)), " "), lambda w: F.substring(w, 1, blocking)))
-        return df.select(c, sorted_words(F.col(c)).alias(f"{c}_s"), F.explode(starts).alias("block"))
-
-    near = keyed(q, "query").join(keyed(n, "name"), "block").where(
-        F.least(F.length("query_s"), F.length("name_s")) * (200 - least) >= F.greatest(F.length("query_s"), F.length("name_s")) * least).select("query", "name", "query_s", "name_s").distinct()
-    scored = near.withColumn("score", token_sort_ratio("query_s", "name_s")).where(F.col("score") >= least)
+    # one row: the numbers of blocks
+    size = q.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("ni")).join(n.agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("nj")))
+
+    def cells(df: DataFrame, c: str, mine: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(c), F.col(f"n{mine}")).alias(mine)
+        return df.join(F.broadcast(size)).select(c, sorted_words(F.col(c)).alias("s"), own, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1)).alias(other))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[str, str, float]] = []
+        if len(a) and len(b):
+            mine, texts, found = list(a["s"]), list(b["s"]), list(b["name"])
+            common = np.zeros((len(mine), len(texts)), dtype=np.int32)
+            for x, y in zip(_letters(mine), _letters(texts), strict=True):
+                if x.any() and y.any():
+                    common += np.minimum(x[:, None], y[None, :])
+            both = np.array([len(x) for x in mine])[:, None] + np.array([len(y) for y in texts])[None, :]
+            bound = np.where(both > 0, 200.0 * common / np.maximum(both, 1), 100.0)
+            for i, asked in enumerate(a["query"]):
+                best: tuple[float, str] | None = None
+                for j in (near := np.flatnonzero(bound[i] >= least - 1e-9))[np.argsort(-bound[i, near], kind="stable")]:
+                    if best and bound[i, j] < -best[0] - 1e-9:
+                        break
+                    score = indel_ratio(mine[i], texts[j])
+                    if score >= least:
+                        best = min(best, (-score, found[j])) if best else (-score, found[j])
+                if best:
+                    out.append((asked, best[1], -best[0]))
+        return pd.DataFrame(out, columns=["query", "name", "score"])
+
+    met = cells(q, "query", "i", "j").groupBy("i", "j").cogroup(cells(n, "name", "j", "i").groupBy("i", "j"))
+    scored = met.applyInPandas(meet, "query string, name string, score double")
     best = scored.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
     return q.join(best, "query", "left").select("query", F.col("b.name").alias("name"), (-F.col("b.s")).alias("score"))

@@ -1,8 +1,11 @@
 """Registered queries take whole tables."""
 
+import random
+
 import pytest
 
 import __spark_entry__
+from quarryleaf.operators import joins
 from quarryleaf.plans import graphs as graph_plans
 
 QUERIES = __spark_entry__.queries()
@@ -22,3 +25,24 @@ def test_graphs_of_light_edges(spark, light_edges):
     assert QUERIES["graph_density_all"](spark, "").first().edges == 6
     assert {tuple(r) for r in QUERIES["graph_triangles_all"](spark, "").collect()} == {(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)}
     assert {r.clustering for r in QUERIES["graph_clustering_all"](spark, "").collect()} == {1.0}
+
+
+def test_best_matches_against_every_name(spark):
+    """First letters differ in the first pairs; others are edited at random."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(60)]
+    names = ["catherine", "christopher", "ab", ""] + [" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(80)]
+    asked = ["katherine", "kristopher", "", "xb"]
+    for text in names[4:44]:
+        edited = list(text)
+        for _ in range(rng.randint(0, 3)):
+            edited[rng.randrange(len(edited))] = rng.choice("abcde")
+        asked.append("".join(edited))
+    q, n = (spark.createDataFrame([(x,) for x in rows], "x string") for rows in (asked, names))
+    for least in (85.0, 60.0):
+        got = {r.query: (r.name, r.score) for r in joins.best_matches(q, n, "x", "x", least, block=16).collect()}
+        plain = lambda t: " ".join(sorted(t.split()))
+        for x in asked:
+            score, name = min((-joins.indel_ratio(plain(x), plain(y)), y) for y in names)
+            assert got[x] == ((name, -score) if -score >= least else (None, None)), x
+    assert got["katherine"][0] == "catherine" and got["kristopher"][0] == "christopher"
