@@ -43,6 +43,31 @@ def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFr
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def dense_top_k(queries: DataFrame, vectors: DataFrame, id_col: str, vector: str, k: int, block: int = 2048) -> DataFrame:
+    """(query_id, doc_id, score, rank): the exact k largest dot products of each query vector (ties: the smaller id).
+    Blocks of queries meet blocks of vectors, of about `block` rows each, and the best of all meetings are merged."""
+    def sized(df: DataFrame, n: str) -> DataFrame:
+        return df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias(n))
+
+    size = sized(queries, "ni").join(sized(vectors, "nj"))  # one row
+
+    def cells(df: DataFrame, mine: str, other: str) -> DataFrame:
+        rows = df.where(F.col(id_col).isNotNull() & F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+        own = F.pmod(F.xxhash64("id"), F.col(f"n{mine}")).alias(mine)
+        return rows.join(F.broadcast(size)).select("id", "v", own, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n{other}") - 1)).alias(other))
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
+        b = b.sort_values("id")
+        s = np.round(np.stack(a["v"].to_numpy()).astype(np.float64) @ np.stack(b["v"].to_numpy()).astype(np.float64).T, 6)
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties: the smaller id
+        return pd.DataFrame({"query_id": np.repeat(a["id"].to_numpy(), best.shape[1]), "doc_id": b["id"].to_numpy()[best].reshape(-1), "score": np.take_along_axis(s, best, axis=1).reshape(-1)})
+
+    met = cells(queries, "i", "j").groupBy("i", "j").cogroup(cells(vectors, "j", "i").groupBy("i", "j"))
+    return top_k(met.applyInPandas(meet, "query_id long, doc_id long, score double"), "query_id", "score", "doc_id", k)
+
+
 def fused(a: DataFrame, b: DataFrame, k: int = 10, constant: int = 60) -> DataFrame:
     """(query_id, doc_id, score, rank, rank_a, rank_b): reciprocal rank fusion of two rankings (query_id, doc_id, rank)."""
     x = a.select("query_id", "doc_id", F.col("rank").alias("rank_a"))

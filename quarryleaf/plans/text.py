@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quarryleaf.functions import taxonomies as tx
 from quarryleaf.operators import text as op
 from quarryleaf.plans.adapters import table
-from quarryleaf.registry import query
+from quarryleaf.registry import SQL, query
 
 
 def rounded(df, digits, *columns):
@@ -69,6 +69,44 @@ def _(spark, d):
     return rounded(op.ranking_quality(op.bm25(docs, queries_of(spark, d), 20), relevant, 10), 6, "recall", "mrr", "ndcg")
 
 
+def whole_queries(spark, d):
+    """All benchmark texts, whole."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def dense_all(spark, d, k=50, items=False):
+    """The best k vectors of every vector whose id divides by 50, in blocks of both; with items, also of those that share
+    their id with a benchmark item."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = rows.where("id % 50 = 0")
+    if items:
+        more = table(spark, d, "benchmark").select(F.col("item_id").alias("id"))
+        asked = asked.unionByName(rows.where("id % 50 <> 0").join(more, "id", "left_semi").select("id", "embedding"))
+    return op.dense_top_k(asked, rows, "id", "embedding", k)
+
+
+def whole(sql):
+    """SQL over the first six words of each benchmark text, for whole ones."""
+    return sql.replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text")
+
+
+@query("bm25_topk_all", whole(SQL["bm25_topk"]))
+def _(spark, d):
+    return rounded(op.bm25(table(spark, d, "documents"), whole_queries(spark, d), 20), 5, "score")
+
+
+@query("dense_topk_all", f"WITH {_DENSE.replace('vec_id < 40', 'vec_id % 50 = 0')} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM dense WHERE rank <= 50")
+def _(spark, d):
+    return dense_all(spark, d).select("query_id", "doc_id", "rank")
+
+
+@query("retrieval_quality_all", whole(SQL["retrieval_quality"]))
+def _(spark, d):
+    docs, asked = table(spark, d, "documents"), whole_queries(spark, d)
+    relevant = docs.join(asked, F.contains("text", "query")).select("query_id", "doc_id")
+    return rounded(op.ranking_quality(op.bm25(docs, asked, 20), relevant, 10), 6, "recall", "mrr", "ndcg")
+
+
 _STOP = ", ".join(f"'{w}'" for w in op.STOP_WORDS)
 
 

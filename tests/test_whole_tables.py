@@ -5,9 +5,10 @@ import random
 import pytest
 
 import __spark_entry__
-from quarryleaf.operators import joins
+from quarryleaf.operators import joins, text
 from quarryleaf.plans import graphs as graph_plans
 
+SF = "/root/testdata/sf0.001"
 QUERIES = __spark_entry__.queries()
 
 
@@ -46,3 +47,25 @@ def test_best_matches_against_every_name(spark):
             score, name = min((-joins.indel_ratio(plain(x), plain(y)), y) for y in names)
             assert got[x] == ((name, -score) if -score >= least else (None, None)), x
     assert got["katherine"][0] == "catherine" and got["kristopher"][0] == "christopher"
+
+
+def test_all_queries_of_searches(spark):
+    """Every vector whose id divides by 50, and every benchmark item, is answered."""
+    v, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("embeddings", "benchmark"))
+    vectors, items = ({r[0] for r in df.select(c).where(f"{c} is not null").collect()} for df, c in ((v, "vec_id"), (b, "item_id")))
+    due = {i for i in vectors if i % 50 == 0}
+    assert {r.query_id for r in QUERIES["dense_topk_all"](spark, SF).collect()} == due
+    got = QUERIES["hybrid_topk"](spark, SF).collect()
+    assert {r.query_id for r in got} == due | items and {r.query_id for r in got if r.rank_a} == due | items & vectors
+
+
+def test_dense_blocks(spark):
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = {(r.query_id, r.rank): r.doc_id for r in text.dense_top_k(df.where("id % 3 = 0"), df, "id", "v", 5, block=16).collect()}
+    want = {}
+    for i, x in rows[::3]:
+        best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in rows)[:5]
+        want.update({(i, k + 1): j for k, (_, j) in enumerate(best)})
+    assert got == want
