@@ -8,7 +8,7 @@ from quarryleaf.operators import forecasting as fc
 from quarryleaf.operators import statistics as op
 from quarryleaf.plans.adapters import ARTICLES, articles, table
 from quarryleaf.plans.text import rounded
-from quarryleaf.registry import query
+from quarryleaf.registry import SQL, query
 
 _METRICS = {"citation_count": "log1p", "reference_count": "identity"}
 _B = f"{ARTICLES}, b AS (SELECT source = 'F' AS g, 'citation_count' AS metric, 'log1p' AS transform, ln(1 + citation_count) AS v FROM articles WHERE citation_count >= 0 UNION ALL SELECT source = 'F', 'reference_count', 'identity', reference_count FROM articles WHERE reference_count >= 0)"
@@ -70,6 +70,12 @@ def _(spark, d):
     return rounded(op.adjusted_p(p, "p").select("k", "p_adjusted"), 9, "p_adjusted")
 
 
+@query("adjusted_p_values_all", SQL["adjusted_p_values"].replace(" WHERE p_partkey <= 200", ""))
+def _(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 1000) / 1000.0 * (F.col("p_size") / 50.0)).alias("p"))
+    return rounded(op.adjusted_p(p, "p").select("k", "p_adjusted"), 9, "p_adjusted")
+
+
 _BREAK = """s AS (SELECT l_suppkey AS k, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS t, count(*) AS n FROM lineitem GROUP BY 1, 2),
 c AS (SELECT k, row_number() OVER w AS i, count(*) OVER (PARTITION BY k) AS m, sum(n) OVER w AS s, sum(n * n) OVER w AS q, sum(n) OVER (PARTITION BY k) AS ts, sum(n * n) OVER (PARTITION BY k) AS tq FROM s WINDOW w AS (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT k, m, i, round((q - s * s / i) + (tq - q) - (ts - s) * (ts - s) / (m - i), 9) AS rss, round(tq - ts * ts / m, 9) AS tss FROM c WHERE m >= 6 AND i >= 2 AND m - i >= 3)"""

@@ -69,3 +69,14 @@ def test_dense_blocks(spark):
         best = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in rows)[:5]
         want.update({(i, k + 1): j for k, (_, j) in enumerate(best)})
     assert got == want
+
+
+def test_adjusted_p_values_of_all_rows(spark, tmp_path):
+    """250 rows, 50 of them beyond the id that the query of the SQL stops at."""
+    spark.range(1, 251).selectExpr("id AS p_partkey", "CAST(id % 50 + 1 AS INT) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    p = sorted((i * 7919 % 1000 / 1000 * ((i % 50 + 1) / 50), i) for i in range(1, 251))
+    want, least = {}, 1.0
+    for rank, (x, i) in reversed(list(enumerate(p, 1))):
+        least = min(least, x * len(p) / rank)
+        want[i] = least
+    assert {r.k: r.p_adjusted for r in QUERIES["adjusted_p_values_all"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-8)
