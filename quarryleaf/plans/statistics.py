@@ -95,7 +95,7 @@ def _(spark, d):
 
 @query("heavy_tails")
 def _(spark, d):
-    return op.heavy_tails(articles(spark, d), "citation_count", draws=20)
+    return op.heavy_tails(articles(spark, d), "citation_count")
 
 
 @query("citation_determinants")

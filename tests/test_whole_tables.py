@@ -5,7 +5,7 @@ import random
 import pytest
 
 import __spark_entry__
-from quarryleaf.operators import joins, text
+from quarryleaf.operators import evaluation, graphs, joins, statistics, text
 from quarryleaf.plans import graphs as graph_plans
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +80,10 @@ def test_adjusted_p_values_of_all_rows(spark, tmp_path):
         least = min(least, x * len(p) / rank)
         want[i] = least
     assert {r.k: r.p_adjusted for r in QUERIES["adjusted_p_values_all"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-8)
+
+
+def test_repetitions_are_the_defaults(spark, light_edges, monkeypatch):
+    """The queries give the operators no numbers of repetitions of their own."""
+    for module, name, plan in ((statistics, "heavy_tails", "heavy_tails"), (graphs, "graph_report", "graph_report"), (evaluation, "theme_stability", "theme_stability")):
+        monkeypatch.setattr(module, name, lambda *args, **named: named)
+        assert not {"draws", "simulations"} & set(QUERIES[plan](spark, SF)), plan
