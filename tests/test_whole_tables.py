@@ -5,7 +5,7 @@ import random
 import pytest
 
 import __spark_entry__
-from quarryleaf.operators import evaluation, graphs, joins, statistics, text
+from quarryleaf.operators import evaluation, graphs, joins, statistics, text, vectors
 from quarryleaf.plans import graphs as graph_plans
 
 SF = "/root/testdata/sf0.001"
@@ -52,11 +52,11 @@ def test_best_matches_against_every_name(spark):
 def test_all_queries_of_searches(spark):
     """Every vector whose id divides by 50, and every benchmark item, is answered."""
     v, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("embeddings", "benchmark"))
-    vectors, items = ({r[0] for r in df.select(c).where(f"{c} is not null").collect()} for df, c in ((v, "vec_id"), (b, "item_id")))
-    due = {i for i in vectors if i % 50 == 0}
+    ids, items = ({r[0] for r in df.select(c).where(f"{c} is not null").collect()} for df, c in ((v, "vec_id"), (b, "item_id")))
+    due = {i for i in ids if i % 50 == 0}
     assert {r.query_id for r in QUERIES["dense_topk_all"](spark, SF).collect()} == due
     got = QUERIES["hybrid_topk"](spark, SF).collect()
-    assert {r.query_id for r in got} == due | items and {r.query_id for r in got if r.rank_a} == due | items & vectors
+    assert {r.query_id for r in got} == due | items and {r.query_id for r in got if r.rank_a} == due | items & ids
 
 
 def test_dense_blocks(spark):
@@ -87,3 +87,13 @@ def test_repetitions_are_the_defaults(spark, light_edges, monkeypatch):
     for module, name, plan in ((statistics, "heavy_tails", "heavy_tails"), (graphs, "graph_report", "graph_report"), (evaluation, "theme_stability", "theme_stability")):
         monkeypatch.setattr(module, name, lambda *args, **named: named)
         assert not {"draws", "simulations"} & set(QUERIES[plan](spark, SF)), plan
+
+
+def test_trustworthiness_of_many_rows(spark):
+    """More than 5000 rows, in several blocks; their projection is themselves, and the ranks of pairs are those of all."""
+    df = spark.range(5100).selectExpr("id", "array(cast(cos(id) as float), cast(sin(id) as float), cast(id % 7 as float)) AS v")
+    assert evaluation.trustworthiness(df, "id", "v", "v", 3).first()[0] == 1
+    few = df.where("id < 60")
+    full = vectors.neighbours(few, "id", "v", 60).select("id", "other", "rank")
+    got = {(r.id, r.other): r.r for r in evaluation.ranks(few, "id", "v", full.select("id", "other")).collect()}
+    assert got == {(r.id, r.other): r.rank for r in full.collect()}
