@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryleaf.llm.common import written
+from quarryleaf.llm.common import discard, written
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -18,8 +18,8 @@ def roots(parents: DataFrame) -> DataFrame:
     now = written(parents.select("node", F.col("parent").alias("comp")))
     while True:
         up = now.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        step = now.join(up, "comp", "left").select("node", F.coalesce("next", "comp").alias("new"), "comp")
-        step = written(step)
+        step = written(now.join(up, "comp", "left").select("node", F.coalesce("next", "comp").alias("new"), "comp"))
+        discard(now)
         now = step.select("node", F.col("new").alias("comp"))
         if step.where("new <> comp").limit(1).count() == 0:
             return now
@@ -36,6 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         met = labels.join(seen, "node").select("node", "comp", F.least("comp", "near").alias("low"))
         up = labels.select(F.col("node").alias("low"), F.col("comp").alias("next"))
         step = written(met.join(up, "low", "left").select("node", "comp", F.least("low", F.coalesce("next", "low")).alias("new")))
+        discard(labels)
         labels = step.select("node", F.col("new").alias("comp"))
         if step.where("new <> comp").limit(1).count() == 0:
             return labels

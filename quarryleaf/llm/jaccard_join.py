@@ -1,8 +1,9 @@
 """Exact self-join of documents on the Jaccard similarity of their word shingles, by a token-group matrix.
 
-Equal sets collapse to one representative. Documents are partitioned into groups of verified similar ones; each group
-keeps the union of its tokens. A query meets a group only where their rows of the matrix share a cell; the overlap of
-query and union bounds the overlap with every member, and only groups whose bound reaches the threshold are opened.
+Equal sets collapse to one representative. Documents are partitioned into groups of similar ones. A table keeps each
+group's members, another, made once, the union of their tokens. The matrix says which groups have which cells; a group's
+documents are queries to the groups that share a cell with it, and first meet these groups' unions only: the overlap of a
+query and a union bounds that with every member. Groups whose bound reaches the threshold are opened for that query.
 
 The cells are exact part signatures rather than single tokens. The hash range is cut into P(size level) parts; the
 signature of a part is the hash of the document's tokens in it. Two linked sets differ in at most d tokens, so of m
@@ -22,11 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import batches, bit_of, bitmap, dropped_bits, heavy_left_join, in_bits, texts, written
+from quarryleaf.llm.common import Rows, batches, bitmap, bits_for, discard, heavy_left_join, in_bits, written
 from quarryleaf.llm.components import components, roots
 
 #: Documents of a group: a bound on what a task holds at once. Parts beyond those that links may destroy, as a factor.
 GROUP_SIZE = 64
+#: Groups of a cell that meet in one task, of either side.
+CELL_BLOCK = 128
 _SLACK = 1.3
 _FOREVER = 1 << 40
 
@@ -114,6 +117,41 @@ def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.view(np.int64) if a.dtype == np.uint64 else a.astype(np.int64), type=pa.int64())
 
 
+def _linked(rows: Rows, shingle: int, num: int, den: int) -> DataFrame:
+    """key, doc_id, n_shingles, class_id, class_size, comp (the smallest key reachable) and component_id of each row."""
+    levels = Levels(num, den)
+
+    def stats(it):
+        for b in batches(it):
+            tokens, off = token_sets(b.column("text"), shingle)
+            a = textbuf.segment_sum(textbuf.mix(tokens), off)
+            c = textbuf.segment_sum(textbuf.mix(tokens ^ np.uint64(0xA24BAED4963EE407)), off)
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), _long(np.diff(off)), _long(a), _long(c)], ["key", "doc_id", "n_shingles", "ha", "hb"])
+
+    known = written(rows.source.mapInArrow(stats, "key long, doc_id long, n_shingles long, ha long, hb long"))
+    same_set = ["n_shingles", "ha", "hb"]
+    classes = written(
+        known.where("n_shingles > 0").groupBy(same_set)
+        .agg(F.min("key").alias("class_key"), F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
+    )
+    total = known.count()
+    single = F.col("class_key").isNull()
+    plain = written(heavy_left_join(known, classes, same_set, "class_size", total).select(
+        "key", "doc_id", "n_shingles", F.coalesce("class_key", "key").alias("class_key"),
+        F.when(single, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")))
+    discard(known)
+    links = _components(Firsts(rows, plain), shingle, levels)
+    sized = links.join(classes.select(F.col("class_key").alias("node"), "class_size"), "node", "left")
+    comps = sized.select(F.col("node").alias("class_key"), "comp", F.coalesce("class_size", F.lit(1)).alias("_rows"))
+    out = heavy_left_join(plain, comps, ["class_key"], "_rows", total).withColumn("comp", F.coalesce("comp", "class_key"))
+    if not rows.any:
+        return out.withColumn("component_id", F.col("comp"))
+    # keys of repeated ids are hashes: a component is named by its smallest id instead
+    out = written(out.drop("_rows"))
+    low = out.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("_rows"))
+    return heavy_left_join(out, low, ["comp"], "_rows", total)
+
+
 def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id, class_size.
 
@@ -121,56 +159,44 @@ def jaccard_classes(docs: DataFrame, shingle: int = 5, num: int = 8, den: int =
     distinct shingles of `shingle` words (fewer words: the whole sequence; none: the empty set, linked with nothing).
     Documents are linked where den * intersection >= num * union. component_id: the smallest doc_id reachable by links;
     class_id: the smallest doc_id with the same set (its own for the empty set); class_size: rows with that set.
-    Null text counts as empty. A row with a null id has the component and class of the documents with its set, or null.
-    Repeated rows count each.
+    Null text counts as empty. Rows are linked one by one, also those with a repeated or null id; a component or class of
+    null ids alone has a null one. Repeated rows count each. An empty table gives an empty one.
     Sets are compared by 64-bit shingle hashes and collapse by a 128-bit hash of the set.
     """
-    source = texts(docs, id_col, text_col)
-    levels = Levels(num, den)
+    return _linked(Rows(docs, id_col, text_col), shingle, num, den).select("doc_id", "n_shingles", "component_id", "class_id", "class_size")
 
-    def stats(it):
-        for b in batches(it):
-            tokens, off = token_sets(b.column("text"), shingle)
-            a = textbuf.segment_sum(textbuf.mix(tokens), off)
-            c = textbuf.segment_sum(textbuf.mix(tokens ^ np.uint64(0xA24BAED4963EE407)), off)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _long(np.diff(off)), _long(a), _long(c)], ["doc_id", "n_shingles", "ha", "hb"])
 
-    rows = written(source.mapInArrow(stats, "doc_id long, n_shingles long, ha long, hb long"))
-    classes = written(
-        rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "ha", "hb")
-        .agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")).where("class_size > 1")
-    )
-    total = rows.count()
-    plain = heavy_left_join(rows, classes, ["n_shingles", "ha", "hb"], "class_size", total)
-    known = written(plain.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")))
-    copies = known.where("class_id <> doc_id").select("doc_id")
-    links = _components(Firsts(source.where("doc_id is not null"), copies), shingle, levels)
-    sizes = known.groupBy("class_id").agg(F.count("*").alias("_rows"))
-    comps = links.join(sizes, links["node"] == sizes["class_id"]).select("class_id", "comp", "_rows")
-    out = heavy_left_join(known, comps, ["class_id"], "_rows", total)
-    return out.select("doc_id", "n_shingles", F.coalesce("comp", "class_id").alias("component_id"), "class_id", "class_size")
-
-
-def open_groups(one: pa.StructArray, other: pa.StructArray, levels: Levels) -> tuple[list[int], list[int]]:
-    """Pairs of two groups (or within one) that may be linked: the overlap of a query with the other group's union, by
-    16 bits of the tokens' hashes, bounds that with every member; groups whose bound is reached are opened, and their
-    members of other components bounded one by one. Tokens that share their 16 bits within a set are added back."""
-    num, den = levels.num, levels.den
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component, all columns: that with the smallest id (where an id in it repeats or is null,
+    any one). Rows of other components stay, whatever their ids; empty texts are components of their own, but of rows
+    with the same id and text one stays."""
+    rows = Rows(docs, id_col, text_col)
+    return rows.without(_linked(rows, shingle, num, den).where("key <> comp").select("key"))
+
+
+def _documents(group: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    marks = group.field("marks")
+    off = np.asarray(marks.offsets)
+    values = marks.values.to_numpy().view(np.uint16)
+    return group.field("node").to_numpy(), group.field("comp").to_numpy(), group.field("n").to_numpy(), [values[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
 
-    def parts(g: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        marks = g.field("marks")
-        off = np.asarray(marks.offsets)
-        values = marks.values.to_numpy().view(np.uint16)
-        return g.field("doc_id").to_numpy(), g.field("comp").to_numpy(), g.field("n").to_numpy(), [values[i:j] for i, j in zip(off[:-1], off[1:], strict=True)]
-
-    (qi, qc, qn, qm), (xi, xc, xn, xm) = parts(one), parts(other)
-    union = np.zeros(1 << 16, dtype=bool)
-    for m in xm:
-        union[m] = True
-    ask = [k for k in range(len(qi)) if den * (np.count_nonzero(union[qm[k]]) + qn[k] - len(qm[k])) >= num * qn[k]]
+
+def qualifying(queries: pa.StructArray, union: np.ndarray, levels: Levels) -> list[int]:
+    """The queries whose overlap with a group's union, by 16 bits of the tokens' hashes, lets them be linked with a
+    member. Tokens that share their 16 bits within a query are added back, so that the bound is from above."""
+    _, _, qn, qm = _documents(queries)
+    seen = np.zeros(1 << 16, dtype=bool)
+    seen[union.view(np.uint16)] = True
+    return [k for k in range(len(qn)) if levels.den * (np.count_nonzero(seen[qm[k]]) + qn[k] - len(qm[k])) >= levels.num * qn[k]]
+
+
+def open_group(queries: pa.StructArray, asked: np.ndarray, group: pa.StructArray, levels: Levels) -> tuple[list[int], list[int]]:
+    """Pairs of these queries and members of another component that may be linked, by their 16-bit marks."""
+    num, den = levels.num, levels.den
+    (qi, qc, qn, qm), (xi, xc, xn, xm) = _documents(queries), _documents(group)
     q_out, x_out = [], []
     mine = np.zeros(1 << 16, dtype=bool)
-    for k in ask:
+    for k in asked:
         mine[qm[k]] = True
         fits = np.flatnonzero((xc != qc[k]) & (den * np.minimum(xn, qn[k]) >= num * np.maximum(xn, qn[k])))
         for j in fits:
@@ -183,47 +209,69 @@ def open_groups(one: pa.StructArray, other: pa.StructArray, levels: Levels) -> t
 
 
 class Firsts:
-    """The documents that are no copy of a smaller one, read anew from the source each time they are worked on: one
+    """The rows that are no copy of one with a smaller key, read anew from the source each time they are worked on: one
     Python step does the choosing and the work. Few rows that the bitmaps leave open are set apart by an exact join."""
 
-    def __init__(self, source: DataFrame, copies: DataFrame):
-        ids, bits, others = dropped_bits(source, copies)
-        self.source = source.withColumn("pos", bit_of(F.col("doc_id")))
-        self.spark = source.sparkSession
-        self.bits = self.spark.sparkContext.broadcast(bits)
-        open_ = self._step(self.source, lambda b: in_bits(bits, b) & in_bits(others, b), lambda it: it, "doc_id long, text string, pos long")
-        self.open = written(open_.join(ids, F.col("doc_id") == F.col("_id"), "left_anti"))
+    def __init__(self, rows: Rows, known: DataFrame):
+        self.spark = rows.spark
+        ids = written(known.where("class_key <> key").select("key").distinct())
+        size = bits_for(ids.count())
+        mask = (1 << size) - 1
+        at = F.xxhash64("key").bitwiseAND(F.lit(mask)).alias("pos")
+        bits = self.spark.sparkContext.broadcast(bitmap(ids.select(at), size))
+
+        def near(it):
+            for b in it:
+                yield b.filter(pa.array(in_bits(bits.value, b.column("h").to_numpy() & mask)))
+
+        maybe = known.where("class_key = key").select("key", F.xxhash64("key").alias("h")).mapInArrow(near, "key long, h long")
+        others = self.spark.sparkContext.broadcast(bitmap(maybe.select(at), size))
+        self.source = rows.source.select("key", "text", F.xxhash64("key").alias("h"))
+        self.sure = lambda h: ~in_bits(bits.value, h & mask)
+        open_ = self._step(self.source, lambda h: in_bits(bits.value, h & mask) & in_bits(others.value, h & mask), lambda it: it, "key long, text string, h long")
+        self.open = written(open_.join(ids, "key", "left_anti"))
+        self.once = rows.any
 
     @staticmethod
     def _step(df: DataFrame, keep, work, schema: str) -> DataFrame:
         def run(it):
-            for_work = (b.filter(pa.array(keep(b.column("pos").to_numpy()))) for b in it)
+            for_work = (b.filter(pa.array(keep(b.column("h").to_numpy()))) for b in it)
             yield from work(for_work)
 
         return df.mapInArrow(run, schema)
 
-    def work(self, run, schema: str, among: DataFrame | None = None) -> DataFrame:
-        """run (an Arrow function of doc_id and text) over all, or over those whose ids are among these and a few more."""
-        copies = self.bits
+    def work(self, run, schema: str, among: DataFrame | None = None, col: str = "node") -> DataFrame:
+        """run (an Arrow function of key and text) over all, or over those whose keys are among these and a few more.
+        Rows with the same id and text are all worked on."""
+        sure = self.sure
         if among is None:
-            first = self._step(self.source, lambda pos: ~in_bits(copies.value, pos), run, schema)
-            return first.unionByName(self._step(self.open, lambda pos: np.ones(len(pos), dtype=bool), run, schema))
-        asked = self.spark.sparkContext.broadcast(bitmap(among.select(bit_of(F.col("doc_id")).alias("pos"))))
-        first = self._step(self.source, lambda pos: ~in_bits(copies.value, pos) & in_bits(asked.value, pos), run, schema)
-        return first.unionByName(self._step(self.open, lambda pos: in_bits(asked.value, pos), run, schema))
+            first = self._step(self.source, sure, run, schema)
+            return first.unionByName(self._step(self.open, lambda h: np.ones(len(h), dtype=bool), run, schema))
+        ids = written(among.select(F.col(col).alias("key")).distinct())
+        size = bits_for(ids.count())
+        mask = (1 << size) - 1
+        asked = self.spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("key").bitwiseAND(F.lit(mask)).alias("pos")), size))
+        discard(ids)
+        first = self._step(self.source, lambda h: sure(h) & in_bits(asked.value, h & mask), run, schema)
+        return first.unionByName(self._step(self.open, lambda h: in_bits(asked.value, h & mask), run, schema))
 
 
 def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
     """(node, comp) of the representatives that share a cell with others; one without any such row is alone."""
 
-    def cells(it):
-        for b in batches(it):
-            tokens, off = token_sets(b.column("text"), shingle)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for row, sig, kind in signatures(tokens, off, levels):
-                for a in range(0, len(row), 1 << 16):
-                    z = slice(a, a + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([_long(sig[z]), _long(ids[row[z]]), pa.array(kind[z])], ["sig", "doc_id", "kind"])
+    def cells(keep):
+        def run(it):
+            for b in batches(it):
+                tokens, off = token_sets(b.column("text"), shingle)
+                ids = b.column("key").to_numpy(zero_copy_only=False)
+                for row, sig, kind in signatures(tokens, off, levels):
+                    some = keep(sig)
+                    row, sig, kind = (row, sig, kind) if some is None else (row[some], sig[some], kind[some])
+                    for a in range(0, len(row), 1 << 16):
+                        z = slice(a, a + (1 << 16))
+                        yield pa.RecordBatch.from_arrays([_long(sig[z]), _long(ids[row[z]]), pa.array(kind[z])], ["sig", "node", "kind"])
+
+        return run
 
     def rows_of(tokens: np.ndarray, off: np.ndarray, kind: pa.DataType) -> pa.Array:
         return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(tokens, type=kind))
@@ -231,64 +279,89 @@ def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
     def sets(it):
         for b in batches(it):
             tokens, off = token_sets(b.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _long(np.diff(off)), rows_of(tokens.view(np.int64), off, pa.int64())], ["doc_id", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), _long(np.diff(off)), rows_of(tokens.view(np.int64), off, pa.int64())], ["node", "n", "tokens"])
 
     def marks(it):
         for b in batches(it):
             tokens, off = token_sets(b.column("text"), shingle)
             short, s_off = textbuf.distinct_sets(tokens & np.uint64(0xFFFF), off)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _long(np.diff(off)), rows_of(short.astype(np.uint16).view(np.int16), s_off, pa.int16())], ["doc_id", "n", "marks"])
-
-    cell = firsts.work(cells, "sig long, doc_id long, kind short")
-    shared = cell.groupBy("sig").agg(F.count("*").alias("rows")).where("rows > 1")
-    members = written(cell.join(shared, "sig").select("sig", "doc_id", "rows", (F.col("kind") % 2).alias("side"), F.expr("kind div 2").alias("least")))
-    small = written(firsts.work(marks, "doc_id long, n long, marks array<short>", members))
+            yield pa.RecordBatch.from_arrays([b.column("key"), _long(np.diff(off)), rows_of(short.astype(np.uint16).view(np.int16), s_off, pa.int16())], ["node", "n", "marks"])
+
+    def once(df: DataFrame) -> DataFrame:
+        return df.dropDuplicates(["node"]) if firsts.once else df
+
+    # cells that two documents have: counted by signature alone; only their rows are told from the documents
+    shared = written(firsts.work(cells(lambda sig: None), "sig long, node long, kind short").groupBy("sig").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1"))
+    found = shared.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    size = bits_for(found.n)
+    mask = np.uint64((1 << size) - 1)
+    again = firsts.spark.sparkContext.broadcast(bitmap(shared.select(F.col("sig").bitwiseAND(F.lit(int(mask))).alias("pos")), size))
+    cell = firsts.work(cells(lambda sig: in_bits(again.value, (sig & mask).astype(np.int64))), "sig long, node long, kind short")
+    members = written(heavy_left_join(cell, shared, ["sig"], "rows", found["rows"]).where("rows is not null").select(
+        "sig", "node", "rows", "head", (F.col("kind") % 2).alias("side"), F.expr("kind div 2").alias("least")))
+    small = written(once(firsts.work(marks, "node long, n long, marks array<short>", members)))
     num, den = F.lit(levels.num), F.lit(levels.den)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(q, x) pairs that are linked, by their whole sets."""
         pairs = written(pairs)
-        ids = pairs.select(F.col("q").alias("doc_id")).unionByName(pairs.select(F.col("x").alias("doc_id")))
-        both = written(firsts.work(sets, "doc_id long, n long, tokens array<long>", ids))
-        left = pairs.join(both.select(F.col("doc_id").alias("x"), F.col("tokens").alias("xt"), F.col("n").alias("xn")), "x")
+        ids = pairs.select(F.col("q").alias("node")).unionByName(pairs.select(F.col("x").alias("node")))
+        both = written(once(firsts.work(sets, "node long, n long, tokens array<long>", ids)))
+        left = pairs.join(both.select(F.col("node").alias("x"), F.col("tokens").alias("xt"), F.col("n").alias("xn")), "x")
         common = F.size(F.array_intersect("tokens", "xt"))
-        return left.join(both.withColumnRenamed("doc_id", "q"), "q").where(common * den >= num * (F.col("n") + F.col("xn") - common)).select("q", "x")
+        return written(left.join(both.withColumnRenamed("node", "q"), "q").where(common * den >= num * (F.col("n") + F.col("xn") - common)).select("q", "x"))
 
     # groups: each document joins the smaller one at the head of most of its cells; linked ones form components
-    heads = members.groupBy("sig").agg(F.min("doc_id").alias("head"))
-    same = members.join(heads, "sig").where("head < doc_id").groupBy("doc_id", "head").agg(F.count("*").alias("cells"), F.min("least").alias("least"))
-    best = written(same.where("cells >= least").groupBy("doc_id").agg(F.max(F.struct("cells", "head")).alias("best")).select("doc_id", "best.head"))
-    star = verified(best.select(F.col("head").alias("q"), F.col("doc_id").alias("x")))
-    tree = small.select("doc_id").join(star.select(F.col("x").alias("doc_id"), "q"), "doc_id", "left").select(F.col("doc_id").alias("node"), F.coalesce("q", "doc_id").alias("parent"))
+    same = members.where("head < node").groupBy("node", "head").agg(F.count("*").alias("cells"), F.min("least").alias("least"))
+    best = written(same.where("cells >= least").groupBy("node").agg(F.max(F.struct("cells", "head")).alias("best")).select("node", "best.head"))
+    star = verified(best.select(F.col("head").alias("q"), F.col("node").alias("x")))
+    tree = small.select("node").join(star.select(F.col("x").alias("node"), "q"), "node", "left").select("node", F.coalesce("q", "node").alias("parent"))
     group_of = roots(tree)
 
     # a document shares `least` cells at least with each linked one: one of them is among its rarest, less `least` - 1
-    own = Window.partitionBy("doc_id", "side", "least")
+    own = Window.partitionBy("node", "side", "least")
     rare = members.withColumn("_at", F.row_number().over(own.orderBy("rows", "sig"))).withColumn("_of", F.count("*").over(own))
-    cells = rare.where("_at <= _of - least + 1").select("sig", "doc_id").distinct()
-    placed = cells.join(group_of.withColumnRenamed("node", "doc_id"), "doc_id")
-    crossing = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top")).where("low < top").select("sig")
-    cross = written(placed.join(crossing, "sig", "left_semi"))
-
-    # the matrix: groups of at most GROUP_SIZE documents of one head (in expectation), and the cells they have
-    docs = cross.select("doc_id", "comp").distinct().join(best, "doc_id", "left").withColumn("head", F.coalesce("head", "doc_id"))
+    cells_ = rare.where("_at <= _of - least + 1").select("sig", "node").distinct()
+    placed = written(cells_.join(group_of, "node"))
+    crossing = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.count("*").alias("places")).where("low < top").select("sig", "places")
+    cross = written(heavy_left_join(placed, crossing, ["sig"], "places", placed.count()).where("places is not null").drop("places"))
+    discard(placed)
+
+    # the groups, of at most GROUP_SIZE documents of one head (in expectation): members, and the union of their tokens
+    docs = cross.select("node", "comp").distinct().join(best, "node", "left").withColumn("head", F.coalesce("head", "node"))
     of_size = docs.groupBy("head").agg(F.ceil(F.count("*") / GROUP_SIZE).alias("cut"))
-    grouped = written(docs.join(of_size, "head").select("doc_id", "comp", F.xxhash64("head", F.pmod(F.xxhash64("doc_id"), "cut")).alias("group")))
-    matrix = cross.select("sig", "doc_id", "comp").join(grouped.select("doc_id", "group"), "doc_id").groupBy("sig", "group").agg(F.min("comp").alias("low"), F.max("comp").alias("top"))
-    met = matrix.alias("a").join(matrix.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.group") <= F.col("b.group")) & (F.least("a.low", "b.low") < F.greatest("a.top", "b.top")))
-    met = written(met.select(F.col("a.group").alias("ga"), F.col("b.group").alias("gb")).distinct())
-    held = grouped.join(small, "doc_id").groupBy("group").agg(F.collect_list(F.struct("doc_id", "comp", "n", "marks")).alias("docs"))
-    held = written(held)
-    both = met.join(held.select(F.col("group").alias("ga"), F.col("docs").alias("a")), "ga").join(held.select(F.col("group").alias("gb"), F.col("docs").alias("b")), "gb")
-
-    def opened(it):
+    grouped = written(docs.join(of_size, "head").select("node", "comp", F.xxhash64("head", F.pmod(F.xxhash64("node"), "cut")).alias("group")))
+    held = written(grouped.join(small, "node").groupBy("group").agg(F.collect_list(F.struct("node", "comp", "n", "marks")).alias("docs")))
+    unions = written(held.select(F.col("group").alias("gb"), F.array_distinct(F.flatten("docs.marks")).alias("union")))
+
+    # the matrix: which groups have which cells; groups that share one meet, a cell of many groups in blocks of these
+    matrix = written(cross.join(grouped.select("node", "group"), "node").groupBy("sig", "group").agg(F.min("comp").alias("low"), F.max("comp").alias("top")))
+    wide = matrix.groupBy("sig").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("cut")).where("cut > 1")
+    spread = written(matrix.join(wide, "sig", "left").withColumn("cut", F.coalesce("cut", F.lit(1))))
+    one = spread.select("sig", "cut", F.col("group").alias("ga"), F.col("low").alias("la"), F.col("top").alias("ta"), F.pmod(F.xxhash64("group"), "cut").cast("int").alias("block"))
+    other = spread.select("sig", F.col("group").alias("gb"), F.col("low").alias("lb"), F.col("top").alias("tb"), F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("block"))
+    met = one.join(other, ["sig", "block"]).where((F.col("ga") <= F.col("gb")) & (F.least("la", "lb") < F.greatest("ta", "tb")))
+    met = written(met.select("ga", "gb").distinct())
+
+    def bounded(it):
+        for batch in it:
+            for ga, gb, queries, union in zip(batch.column("ga"), batch.column("gb"), batch.column("docs"), batch.column("union"), strict=True):
+                asked = qualifying(queries.values, union.values.to_numpy(), levels)
+                if asked:
+                    yield pa.RecordBatch.from_arrays([pa.array([ga.as_py()], pa.int64()), pa.array([gb.as_py()], pa.int64()), pa.array([asked], pa.list_(pa.int32()))], ["ga", "gb", "asked"])
+
+    queries = held.withColumnRenamed("group", "ga")
+    opened = written(met.join(queries, "ga").join(unions, "gb").select("ga", "gb", "docs", "union").mapInArrow(bounded, "ga long, gb long, asked array<int>"))
+
+    def members_of(it):
         for batch in it:
-            for one, other in zip(batch.column("a"), batch.column("b"), strict=True):
-                q, x = open_groups(one.values, other.values, levels)
+            for asked, one_, other_ in zip(batch.column("asked"), batch.column("a"), batch.column("b"), strict=True):
+                q, x = open_group(one_.values, asked.values.to_numpy(), other_.values, levels)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(x, pa.int64())], ["q", "x"])
 
-    found = verified(both.select("a", "b").mapInArrow(opened, "q long, x long").distinct()).withColumnRenamed("x", "doc_id")
-    named = found.join(group_of.withColumnRenamed("node", "q").withColumnRenamed("comp", "a"), "q")
-    edges = named.join(group_of.withColumnRenamed("node", "doc_id").withColumnRenamed("comp", "b"), "doc_id").select("a", "b").distinct()
+    met_ = opened.join(held.select(F.col("group").alias("ga"), F.col("docs").alias("a")), "ga").join(held.select(F.col("group").alias("gb"), F.col("docs").alias("b")), "gb")
+    linked = verified(met_.select("asked", "a", "b").mapInArrow(members_of, "q long, x long").distinct()).withColumnRenamed("x", "node")
+    named = linked.join(group_of.select(F.col("node").alias("q"), F.col("comp").alias("a")), "q")
+    edges = named.join(group_of.withColumnRenamed("comp", "b"), "node").select("a", "b").distinct()
     merged = components(edges).select(F.col("node").alias("comp"), F.col("comp").alias("whole"))
     return group_of.join(merged, "comp", "left").select("node", F.coalesce("whole", "comp").alias("comp"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import BITMAP_BITS, batches, bit_of, bitmap, heavy_left_join, in_bits, member, texts, written
+from quarryleaf.llm.common import Rows, batches, bit_of, bitmap, bits_for, heavy_left_join, in_bits, member, members, written
 
 #: Chunks have so many words at least: bare separators and braces are no passages.
 MIN_WORDS = 10
@@ -68,7 +68,7 @@ def runs(it):
         end = reach[np.append(opens[1:], len(at))[: len(opens)] - 1]
         off = np.searchsorted(row[opens], np.arange(len(removed) + 1)).astype(np.int32)
         cuts = pa.StructArray.from_arrays([pa.array(at[opens] & ((1 << 40) - 1)), pa.array(end - at[opens])], ["at", "lines"])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(off), cuts)], ["doc_id", "removed"])
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(off), cuts)], ["key", "removed"])
 
 
 def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,48 +77,55 @@ def drop_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Lines end at \\n. Of a run of lines with ten words or more that stands in several places with the same bytes, the place
     with the smallest doc_id, then first line, stays; the lines of the others are taken out of their texts, but for places
     that overlap the first. Every line that is taken out stands in an earlier place, so each stays somewhere.
-    Null text counts as empty; null ids come before others and their rows stay whole; repeated rows of one id are
-    treated alike. Text of documents without a repeated chunk is not shuffled. Chunks are the same if their 64-bit hash and
-    SHA-256 are.
+    Null text counts as empty; of places in documents with null or repeated ids the one of the smallest key (see Rows)
+    stays. Rows are cut one by one, also those that share an id; rows with the same id and text are cut alike. Text of
+    documents without a repeated chunk is not shuffled. Chunks are the same if their 64-bit hash and SHA-256 are.
     """
-    source = texts(docs, id_col, text_col)
-    spark = docs.sparkSession
+    rows = Rows(docs, id_col, text_col)
+    source, spark = rows.source, rows.spark
 
     def prints(it):
         for b in batches(it):
-            c = chunks(b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(c["fp"])], ["fp"])
+            yield pa.RecordBatch.from_arrays([pa.array(chunks(b.column("text"))["fp"])], ["fp"])
 
-    again = source.mapInArrow(prints, "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-    bits = spark.sparkContext.broadcast(bitmap(again.select(F.col("fp").bitwiseAND(F.lit(BITMAP_BITS - 1)).alias("pos"))))
+    again = written(source.mapInArrow(prints, "fp long").groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))
+    size = bits_for(again.count())
+    mask = (1 << size) - 1
+    bits = spark.sparkContext.broadcast(bitmap(again.select(F.col("fp").bitwiseAND(F.lit(mask)).alias("pos")), size))
 
     def shas(it):
         for b in batches(it):
             c = chunks(b.column("text"))
-            raw = c.pop("data").tobytes()
-            maybe = in_bits(bits.value, c["fp"] & (BITMAP_BITS - 1))
+            raw = memoryview(c.pop("data"))
+            maybe = in_bits(bits.value, c["fp"] & mask)
             c = {k: v[maybe] for k, v in c.items()}
             sha = pa.array([hashlib.sha256(raw[i:j]).digest() for i, j in zip(c["b0"], c["b1"], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(c["row"])), pa.array(c["at"]), pa.array(c["lines"]), pa.array(c["fp"]), sha], ["doc_id", "at", "lines", "fp", "sha"])
+            at = pa.array(c["row"])
+            yield pa.RecordBatch.from_arrays([b.column("key").take(at), b.column("doc_id").take(at), pa.array(c["at"]), pa.array(c["lines"]), pa.array(c["fp"]), sha], ["key", "doc_id", "at", "lines", "fp", "sha"])
 
     # long chunks are as light as short ones: their SHA-256 stands for their bytes
-    light = written(source.mapInArrow(shas, "doc_id long, at long, lines long, fp long, sha binary"))
-    groups = written(light.groupBy("fp", "sha").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("places")).where("places > 1"))
-    met = heavy_left_join(light, groups, ["fp", "sha"], "places", light.count()).where("first is not null and doc_id is not null")
-    gone = met.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("at") < F.col("first.at") + F.col("lines"))))
-    cuts = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "lines"))).alias("removed"))
-    cuts = written(cuts.mapInArrow(runs, "doc_id long, removed array<struct<at:bigint,lines:bigint>>"))
+    light = written(source.mapInArrow(shas, "key long, doc_id long, at long, lines long, fp long, sha binary"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "at")
+    groups = written(light.groupBy("fp", "sha").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1"))
+    met = heavy_left_join(light.drop("doc_id"), groups, ["fp", "sha"], "places", light.count()).where("first is not null")
+    gone = met.where(~((F.col("key") == F.col("first.key")) & (F.col("at") < F.col("first.at") + F.col("lines"))))
+    cuts = gone.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "lines"))).alias("removed"))
+    cuts = written(cuts.mapInArrow(runs, "key long, removed array<struct<at:bigint,lines:bigint>>"))
 
     lines = F.split("text", "\n", -1)
     none = F.array().cast("array<struct<at:bigint,lines:bigint>>")
-    touched = member(spark, bitmap(cuts.select(bit_of(F.col("doc_id")).alias("pos"))))
-    marked = source.withColumn("_maybe", touched(bit_of(F.col("doc_id"))))
+    found, size = members(cuts)
+    marked = source.withColumn("_maybe", member(spark, found)(bit_of(F.col("key"), size)))
     whole = marked.where("not _maybe").select("doc_id", "text", none.alias("removed"))
     # merged at any size: cuts grow with the documents, so a broadcast of few would not last
-    some = marked.where("_maybe").select("doc_id", "text").join(cuts.hint("merge"), "doc_id", "left").select("doc_id", "text", F.coalesce("removed", none).alias("removed"))
-    out = whole.unionByName(some).withColumn("lines", lines)
-    left = F.filter("lines", lambda line, i: ~F.exists("removed", lambda c: (i >= c["at"]) & (i < c["at"] + c["lines"])))
+    some = marked.where("_maybe").select("key", "doc_id", "text").join(cuts.hint("merge"), "key", "left").select("doc_id", "text", F.coalesce("removed", none).alias("removed"))
+    out = whole.unionByName(some)
+    # what stays lies between the runs, which are disjoint and in order: a slice each, so that no line meets every run
+    end = F.transform("removed", lambda c: (c["at"] + c["lines"]).cast("int"))
+    first = F.concat(F.array(F.lit(0)), end)
+    stop = F.concat(F.transform("removed", lambda c: c["at"].cast("int")), F.array(F.size("lines")))
+    left = F.flatten(F.zip_with(first, stop, lambda a, b: F.slice("lines", a + 1, b - a)))
     n = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, c: acc + c["lines"])
-    return out.select(
+    return out.withColumn("lines", lines).select(
         "doc_id", F.when(F.size("removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text"),
         F.size("lines").cast("long").alias("n_lines"), n.alias("n_removed_lines"), "removed")

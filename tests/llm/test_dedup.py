@@ -8,7 +8,7 @@ import pytest
 
 from quarryleaf.llm import line_dedup
 from quarryleaf.llm.exact_dedup import CountingQuotientFilter, drop_exact_duplicates, exact_duplicates, repeated_fingerprints
-from quarryleaf.llm.jaccard_join import Levels, jaccard_classes
+from quarryleaf.llm.jaccard_join import Levels, drop_near_duplicates, jaccard_classes
 from tests.llm.conftest import sentences
 
 
@@ -126,7 +126,7 @@ def test_jaccard_odd_rows(spark, odd_docs, no_docs):
     got = jaccard_classes(odd_docs, 4, 85, 100).collect()
     assert len(got) == odd_docs.count()
     by = {r.doc_id: r for r in got if r.doc_id is not None}
-    assert (by[5].component_id, by[5].class_size, by[2].component_id, by[2].n_shingles) == (1, 3, 2, 0)
+    assert (by[5].component_id, by[5].class_size, by[2].component_id, by[2].n_shingles) == (1, 4, 2, 0)  # a null id's row counts
     assert by[7].component_id == 6 and by[8].n_shingles == 59_997
     assert {(r.n_shingles, r.component_id) for r in got if r.doc_id is None} == {(3, 1), (0, None)}
     assert jaccard_classes(no_docs).count() == 0
@@ -237,3 +237,87 @@ def test_line_dedup_takes_every_shared_passage(spark):
         lines = texts[d].split("\n")
         assert r.n_removed_lines == len(gone[d]) and r.text == "\n".join(x for i, x in enumerate(lines) if i not in gone[d])
     assert {x for _, t in rows for x in t.split("\n") if x} == {x for r in got.values() for x in r.text.split("\n") if x}
+
+
+def clashing(spark, rows):
+    """Documents whose other columns have names that operators might use."""
+    names = ["_id", "_sure", "_open", "key", "KEY_", "open", "norm", "fp", "removed"]
+    return spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+
+
+#: Ids that repeat with other texts, with the same text, and that are null; texts with one and with several ids.
+SHARED_IDS = [
+    (5, "same"), (5, "unique text of five"), (4, "same"), (1, "a b"), (1, "a b"), (None, "only null ids have this"), (None, "only null ids have this"), (None, "same"), (None, "another one"),
+    (7, "first of seven and some more words to have shingles of"), (7, "second of seven with words of its own so that it is not like"), (8, "first of seven and some more words to have shingles of"), (9, None), (9, ""), (9, " x"), (None, None),
+]
+
+
+def test_rows_go_by_row_not_by_id(spark):
+    docs = clashing(spark, SHARED_IDS).repartition(3)
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    best = {}
+    for d, t in SHARED_IDS:
+        best.setdefault(norm(t), []).append((-len(t or ""), d is None, d or 0))
+    kept = drop_exact_duplicates(docs)
+    got = sorted((norm(r.text), -len(r.text or ""), r.doc_id is None, r.doc_id or 0) for r in kept.collect())
+    assert got == sorted((k, *min(v)) for k, v in best.items()) and kept.columns == docs.columns
+    near = drop_near_duplicates(docs, 3, 8, 10).collect()
+    words_of = sorted({" ".join(words(r.text)) for r in near})
+    assert words_of == sorted({" ".join(words(t)) for _, t in SHARED_IDS})  # no text is lost
+    assert len([r for r in near if words(r.text)]) == len([w for w in words_of if w])  # and each has one row
+    assert drop_near_duplicates(docs.limit(0)).count() == 0 and drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_near_copies_with_shared_ids(spark):
+    """Families of edited copies under few ids and null ones: one row of each component stays."""
+    rng = random.Random(15)
+    rows = []
+    for _ in range(12):
+        base = sentences(rng, 60).split()
+        for _ in range(6):
+            copy = list(base)
+            copy[rng.randrange(60)] = f"n{rng.randrange(999)}"
+            rows.append((rng.choice([None, 1, 2, 3, 50 + len(rows)]), " ".join(copy)))
+    rows += rows[:5]
+    by_row = plain_classes([(i, t) for i, (_, t) in enumerate(rows)], 4, 85, 100)
+    groups = {}
+    for i, (_, low) in by_row.items():
+        groups.setdefault(low, set()).add(rows[i][1])
+    kept = [r.text for r in drop_near_duplicates(clashing(spark, rows), 4, 85, 100).collect()]
+    assert len(kept) == len(groups) and all(sum(t in g for t in kept) == 1 for g in groups.values())
+    got = jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, 100).collect()
+    low = {k: min((rows[i][0] for i in by_row if rows[i][1] in g and rows[i][0] is not None), default=None) for k, g in groups.items()}
+    want = sorted(((rows[i][0] or 0, by_row[i][0], low[by_row[i][1]] or 0) for i in by_row))
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == want
+
+
+def test_lines_of_shared_ids(spark):
+    """Cuts are a row's own: an id's other text is not cut at the same places."""
+    passage = " ".join(f"p{i}" for i in range(20))
+    own = [" ".join(f"o{k}x{i}" for i in range(12)) for k in range(3)]
+    rows = [(1, passage), (2, f"{passage}\n{own[0]}"), (2, f"{own[1]}\n{own[2]}"), (None, f"tail\n{passage}"), (None, own[1][::-1])]
+    got = sorted(r.text for r in line_dedup.drop_repeated_chunks(clashing(spark, rows)).collect())
+    assert got == sorted([passage, own[0], f"{own[1]}\n{own[2]}", "tail", own[1][::-1]])
+
+
+def plain_chunks(text, least=10):
+    """(first line, lines): from each line on, and up to each line, the fewest lines with so many words."""
+    lines, out = [len(re.findall(r"[^\x20\x09-\x0D]+", x)) for x in text.split("\n")], set()
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines) + 1):
+            if sum(lines[a:b]) >= least and (sum(lines[a : b - 1]) < least or sum(lines[a + 1 : b]) < least):
+                out.add((a, b - a))
+    return {c for c in out if sum(lines[c[0] : c[0] + c[1] - 1]) < least or sum(lines[c[0] + 1 : c[0] + c[1]]) < least}
+
+
+def test_chunks_against_plain():
+    import pyarrow as pa
+
+    rng = random.Random(31)
+    texts = ["\n".join(sentences(rng, rng.choice([0, 0, 1, 3, 9, 10, 25])) for _ in range(rng.randint(0, 14))) for _ in range(80)]
+    c = line_dedup.chunks(pa.array(texts))
+    got = {}
+    for r, at, n in zip(c["row"].tolist(), c["at"].tolist(), c["lines"].tolist(), strict=True):
+        got.setdefault(r, set()).add((at, n))
+    for r, text in enumerate(texts):
+        assert got.get(r, set()) == plain_chunks(text), text
