@@ -10,13 +10,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarryleaf.llm import quality
-from quarryleaf.llm.common import without_ids, written
+from quarryleaf.llm.common import written
 from quarryleaf.llm.decontaminate import drop_contaminated
 from quarryleaf.llm.exact_dedup import drop_exact_duplicates
-from quarryleaf.llm.jaccard_join import jaccard_classes
+from quarryleaf.llm.jaccard_join import drop_near_duplicates
 from quarryleaf.llm.packing import pack
 
 
@@ -32,8 +31,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
-    classes = jaccard_classes(docs, shingle=5, num=8, den=10)
-    return without_ids(docs, classes.where("component_id <> doc_id").select("doc_id"))
+    return drop_near_duplicates(docs, shingle=5, num=8, den=10)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
