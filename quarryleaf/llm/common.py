@@ -95,7 +95,7 @@ def bitmap(positions: DataFrame, bits: int) -> np.ndarray:
     blocks = positions.where(F.col(positions.columns[0]).isNotNull()).groupBy(F.bitmap_bucket_number(pos).alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(pos)).alias("bits"))
     out = np.zeros(max(1 << bits - 3, _BLOCK), dtype=np.uint8)
     with small_batches(positions.sparkSession):
-        for row in blocks.toLocalIterator():  # 2 ** (bits - 15) rows of 4 KiB at most
+        for row in blocks.collect():  # 2 ** (bits - 15) rows of 4 KiB at most
             out[(row.block - 1) * _BLOCK : row.block * _BLOCK] = np.frombuffer(row.bits, dtype=np.uint8)
     return out
 
