@@ -120,12 +120,13 @@ def test_contamination_against_plain(spark):
             at = rng.randint(0, len(w))
             w[at:at] = piece
         docs.append((d, " ".join(w).upper() if d % 2 else ", ".join(w)))
-    docs += [(500, None), (501, ""), (502, items[0][1]), (502, items[0][1])]
+    docs += [(500, None), (501, ""), (502, items[0][1]), (502, items[0][1]), (None, items[1][1]), (None, "clean and short"), (502, "another text of an id that is dropped")]
     frame = spark.createDataFrame([(*x, "i") for x in docs], "doc_id long, text string, item_id string").repartition(3)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(frame, bench).collect()}
+    got = {(-1 if r.doc_id is None else r.doc_id, r.item_id): r.distance for r in decontaminate.contaminated(frame, bench).collect()}
     want = {}
     for d, t in docs:
+        d = -1 if d is None else d
         w = "".join(c.lower() if c.isalnum() else " " for c in t or "").split()
         for i, text in items:
             item = (text or "").split()
@@ -134,30 +135,66 @@ def test_contamination_against_plain(spark):
                 if e <= int(len(item) * 0.2):
                     want[d, i] = e
     missed = [k for k in want if k not in got]
-    assert not [k for k in got if k not in want] and len(missed) <= 0.01 * len(want)
+    assert not [k for k in got if k not in want] and len(missed) <= 0.03 * len(want)
     assert all(got[k] == want[k] for k in got)
-    clean = {r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()}
-    assert clean == {d for d, _ in docs} - {d for d, _ in got}
+    clean = decontaminate.drop_contaminated(frame, bench).collect()
+    assert {r.doc_id for r in clean} == {d for d, _ in docs} - {d for d, _ in got if d not in (-1, 502)}
+    assert {r.text for r in clean if r.doc_id in (None, 502)} == {"clean and short", "another text of an id that is dropped"}
     assert decontaminate.contaminated(frame, bench.limit(0)).count() == 0 and decontaminate.contaminated(frame.limit(0), bench).count() == 0
 
 
+def plain_walk(words, coins, steps):
+    """The words that a walk writes, one step at a time."""
+    at, out = 0, []
+    for j in range(steps):
+        out.append(words[at] if at < len(words) else None)
+        at += at < len(words) and (int(coins[at]) >> (j % decontaminate.PERIOD)) & 1
+    return out
+
+
+def test_walks_against_plain():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 60, 40).astype(np.uint64)
+    for k, path in enumerate(decontaminate.walks(h)):
+        mixed = textbuf.mix(h ^ textbuf.mix(np.array([k // 4 * 4 + 1], dtype=np.uint64)))
+        coins = (mixed >> np.uint64(decontaminate.PERIOD * (k % 4))).astype(np.uint16)
+        for start in (0, 7, 39):
+            want = plain_walk(h[start:].tolist(), coins[start:], 70)
+            got = [path.step(j, np.array([start]))[0] for j in range(70)]
+            assert [int(h[x]) if x < 40 else None for x in got] == want and [path.step(j)[start] for j in range(70)] == got
+
+
+def test_embedding_keeps_few_edits_near():
+    """Edit distance becomes Hamming distance: few edits leave most steps the same, unrelated words nearly none."""
+    rng = np.random.default_rng(4)
+    same, other = [], []
+    for _ in range(60):
+        a, c = (rng.integers(0, 1 << 60, 40).astype(np.uint64) for _ in range(2))
+        b = np.delete(a, int(rng.integers(40)))
+        wrote = [[h[x] if (x := p.step(j, np.zeros(1, np.int64))[0]) < len(h) else 0 for p in decontaminate.walks(h) for j in range(60)] for h in (a, b, c)]
+        same.append(np.mean([x == y for x, y in zip(wrote[0], wrote[1], strict=True)]))
+        other.append(np.mean([x == y for x, y in zip(wrote[0], wrote[2], strict=True)]))
+    assert np.mean(same) > 0.6 and np.mean(other) < 0.15
+
+
 def test_lsh_recall():
-    """Of windows with as many random edits as are allowed, nearly all meet their item in some table."""
+    """Of passages with as many random edits as are allowed, more than nine in ten share a bucket at their place."""
     rng = np.random.default_rng(5)
-    hit = total = 0
-    for length in (15, 30, 55):
-        for _ in range(40):
-            item = rng.integers(0, 1 << 60, length).astype(np.uint64)
+    vocabulary, share = rng.integers(1, 1 << 60, 3000).astype(np.uint64), 1 / np.arange(1, 3001)
+    draw = lambda n: vocabulary[rng.choice(3000, n, p=share / share.sum())]
+    for length in (3, 8, 15, 30, 59):
+        hit = 0
+        for _ in range(80):
+            item = draw(length)
             other = item.tolist()
-            for _ in range(int(length * 0.2)):
+            for _ in range(int(length * decontaminate.EDIT_RATE)):
                 p, kind = rng.integers(len(other)), rng.integers(3)
-                other[p : p + (kind != 1)] = [] if kind == 0 else [int(rng.integers(1 << 60))]
-            other = np.array((other + [1] * length)[:length], dtype=np.uint64)
-            size = np.array([length, length])
-            keys = decontaminate.table_keys(decontaminate.embed(np.stack([item, other]), size), size)
-            hit += bool((keys[0] == keys[1]).any())
-            total += 1
-    assert hit / total >= 0.97
+                other[p : p + (kind != 1)] = [] if kind == 0 else [int(draw(1)[0])]
+            text = np.concatenate([draw(100), np.array(other, dtype=np.uint64), draw(100)])
+            items = decontaminate.Items([0], [item])
+            start = items.candidates(text, items.numbered(text), len(text))[:, 0]
+            hit += bool(((start > 97) & (start < 104)).any())
+        assert hit / 80 >= 0.9, (length, hit)
 
 
 def test_items_in_blocks(spark, monkeypatch):
