@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 # HTML elements by how a parser treats them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math object canvas audio video".split())
-SKIPPED = RAW | frozenset("head select option datalist button map".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
+SKIPPED = RAW | frozenset("template svg math object canvas audio video select option datalist button map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -30,6 +30,7 @@ HOLDERS = frozenset("html body div section main article center table tbody tr td
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"']*+)|["'])*+)>""")
 _ATTR = re.compile(r"""(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_EITHER = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])([^>]*)>", re.I) for tag in SKIPPED}
 
 
 class Node:
@@ -42,13 +43,52 @@ class Node:
         self.kids = 0
 
 
+def _self_closed(attributes: str) -> bool:
+    """A slash ends the tag, and is not the end of an unquoted value."""
+    return attributes.endswith("/") and (len(attributes) == 1 or attributes[-2] in " \t\n\r\f\"'")
+
+
+def _ends(page: str, tag: str) -> dict[int, int]:
+    """Where each element of this name that has an end tag begins and ends; inner ones end first."""
+    out: dict[int, int] = {}
+    open_: list[int] = []
+    for m in _EITHER[tag].finditer(page):
+        if m.group(1):
+            if open_:
+                out[open_.pop()] = m.end()
+        elif not _self_closed(m.group(2)):
+            open_.append(m.start())
+    return out
+
+
 def parse(page: str) -> list[Node]:
-    """Nodes in page order, parents before children: block elements, and under them runs of text (tag '#')."""
+    """Nodes in page order, parents before children: block elements, and under them runs of text (tag '#').
+
+    Scripts, styles, forms' fields, embedded objects and the like are passed over with what they hold, nested ones to the
+    end of the outermost. One that closes itself or has no end tag holds nothing, and the page goes on; only after a
+    script or style without an end is the rest its own. What style sheets or `hidden` would hide is read like the rest.
+    """
     nodes = [Node("#root", (), -1)]
     stack: list[tuple[str, int]] = [("#root", 0)]
     run: Node | None = None
     links = 0
     at, end = 0, len(page)
+    ends: dict[str, dict[int, int]] = {}
+    endless: set[str] = set()
+
+    def past(tag: str, attributes: str, start: int, after: int) -> int:
+        """Where the page goes on behind an element that is passed over."""
+        if tag not in RAW:
+            if tag not in ends:
+                ends[tag] = _ends(page, tag)
+            return ends[tag].get(start, after)
+        if _self_closed(attributes):
+            return after
+        close = None if tag in endless else next((m for m in _EITHER[tag].finditer(page, after) if m.group(1)), None)
+        if close:
+            return close.end()
+        endless.add(tag)
+        return end if tag in ("script", "style") else after
 
     def write(piece: str) -> None:
         nonlocal run
@@ -119,12 +159,8 @@ def parse(page: str) -> list[Node]:
             if tag == "hr":
                 run = None
             continue
-        if tag in SKIPPED and tag != "head":
-            if attributes.rstrip().endswith("/") and tag in {"svg", "math", "script"}:
-                continue
-            close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            if tag in RAW or close:
-                at = close.end() if close else (end if tag in RAW else at)
+        if tag in SKIPPED:
+            at = past(tag, attributes, lt, at)
             continue
         if tag in CLOSES_P:
             depth = innermost({"p"}, frozenset({"td", "th", "div", "article", "section", "li", "button", "object"}))
@@ -147,20 +183,24 @@ def parse(page: str) -> list[Node]:
 
 
 def features(nodes: list[Node]) -> list[list[str]]:
-    """What is seen of each node: tag, words of class, id and role; of a run also its length, links and sentences."""
+    """What is seen of each node: of an element its tag with the share of links in what it holds, and the words of class,
+    id and role; of a run its length, links and sentences."""
+    size, linked = [0] * len(nodes), [0] * len(nodes)
+    for k in range(len(nodes) - 1, 0, -1):
+        node = nodes[k]
+        if node.tag == "#":
+            size[k], linked[k] = sum(map(len, node.text)), node.linked
+        size[node.parent] += size[k]
+        linked[node.parent] += linked[k]
     out = []
-    for node in nodes:
+    for k, node in enumerate(nodes):
+        share = linked[k] / max(1, size[k])
+        links = 0 if not linked[k] else 1 if share < 0.3 else 2 if share < 0.8 else 3
         if node.tag != "#":
-            out.append([f"tag {node.tag}", *(f"name {w}" for w in set(node.names))])
+            out.append([f"tag {node.tag} {links}", *(f"name {w}" for w in set(node.names))])
             continue
-        text = "".join(node.text)
-        words = text.split()
-        share = node.linked / max(1, len(text))
-        out.append([
-            f"words {min(6, int(math.log2(len(words) + 1)))}",
-            f"links {0 if not node.linked else 1 if share < 0.3 else 2 if share < 0.8 else 3}",
-            f"stops {min(2, sum(w[-1] in '.!?' for w in words))}",
-        ])
+        words = "".join(node.text).split()
+        out.append([f"words {min(6, int(math.log2(len(words) + 1)))}", f"links {links}", f"stops {min(2, sum(w[-1] in '.!?' for w in words))}"])
     return out
 
 
@@ -260,7 +300,7 @@ class TreeModel:
         return [t for t in found if t]
 
 
-def labelled_pages(count: int = 600, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
+def labelled_pages(count: int = 1000, seed: int = 11) -> Iterator[tuple[str, set[str]]]:
     """Pages with known content, made by a rule: an article in one of several layouts, among navigation, headers,
     footers, sidebars, notices, adverts, forms, share and related links, and reader comments."""
     rng = random.Random(seed)
@@ -308,6 +348,13 @@ def labelled_pages(count: int = 600, seed: int = 11) -> Iterator[tuple[str, set[
             content.add(" ".join(html.unescape(text).split()))
             return text
 
+        def item() -> str:
+            """A point of a list: a word, a sentence or more, now and then with a link at its beginning."""
+            text = rng.choice([word(), sentence(1, 3), sentence(2, 10), prose(1, 2)])
+            told(text)
+            head, _, tail = text.partition(" ")
+            return f"<li><a href=/{head}>{head}</a> {tail}</li>" if tail and rng.random() < 0.25 else f"<li>{text}</li>"
+
         body = [f"<h1>{told(sentence(2, 12))}</h1>"] * (rng.random() < 0.85)
         for _ in range(rng.choice([1, 2, 3, 5, 8, 12])):
             kind = rng.random()
@@ -317,7 +364,8 @@ def labelled_pages(count: int = 600, seed: int = 11) -> Iterator[tuple[str, set[
                 level = rng.randint(2, 4)
                 body.append(f"<h{level}>{told(sentence(1, 8))}</h{level}>")
             elif kind < 0.86:
-                body.append("<ul>" + "".join(f"<li>{told(rng.choice([sentence(2, 10), prose(1, 2)]))}</li>" for _ in range(rng.randint(1, 5))) + "</ul>")
+                form = rng.choice(["ul", "ol"])
+                body.append(f"<{form}>" + "".join(item() for _ in range(rng.randint(1, 6))) + f"</{form}>")
             elif kind < 0.9:
                 body.append(f"<blockquote><p>{told(prose(1, 3))}</p></blockquote>")
             elif kind < 0.93:
@@ -334,7 +382,7 @@ def labelled_pages(count: int = 600, seed: int = 11) -> Iterator[tuple[str, set[
             lambda: f"<main><article>{inner}</article></main>", lambda: f"<main>{inner}</main>",
             lambda: f"<div {named('content main article post entry article-body post-content entry-content story text')}>{inner}</div>",
             lambda: f"<div {named('content main')}><div {named('post entry article-body story')}>{inner}</div></div>",
-            lambda: f"<section>{inner}</section>",
+            lambda: f"<section>{inner}</section>", lambda: f"<div>{inner}</div>", lambda: f"<div {named('wrapper page box row col')}>{inner}</div>", lambda: inner,
         ])()
         before = [rng.choice(boxes)() for _ in range(rng.randint(0, 4))]
         after = [rng.choice(boxes)() for _ in range(rng.randint(0, 5))]
