@@ -29,8 +29,15 @@ def author_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(articles(spark, sf_dir).select("doi", "year", "source", "venue", "citation_count"), "doi")
 
 
+def keyword_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(value, doi, year): an article's keywords are the names of the parts in its lines, a mention each."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("value")), F.col("l_partkey") == F.col("p_partkey"))
+    return lines.select("value", F.col("l_orderkey").alias("doi")).join(articles(spark, sf_dir).select("doi", "year"), "doi").select("value", "doi", "year")
+
+
 ARTICLES = """articles AS (SELECT o_orderkey AS doi, CAST(year(o_orderdate) AS INT) AS year, o_orderstatus AS source, c_mktsegment AS venue,
   o_orderpriority AS category, q AS citation_count, n AS reference_count FROM orders JOIN customer ON o_custkey = c_custkey
   LEFT JOIN (SELECT l_orderkey, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 AUTHORS = ARTICLES + """, author_rows AS (SELECT l.doi, author, position, a.year, a.source, a.venue, a.citation_count FROM (SELECT l_orderkey AS doi, l_suppkey AS author,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS INT) AS position FROM lineitem) l JOIN articles a ON a.doi = l.doi)"""
+KEYWORDS = ARTICLES + """, keywords AS (SELECT p_name AS value, a.doi, a.year FROM lineitem JOIN part ON l_partkey = p_partkey JOIN articles a ON a.doi = l_orderkey)"""

@@ -25,5 +25,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-for module in ("counts", "windows", "authors", "joins", "text", "vectors", "statistics", "graphs", "reviews", "layers", "streams", "citations", "evaluation"):
+for module in ("counts", "windows", "authors", "joins", "text", "vectors", "statistics", "graphs", "reviews", "layers", "streams", "citations", "evaluation", "views", "curation", "provider", "runs"):
     import_module(f"quarryleaf.plans.{module}")
