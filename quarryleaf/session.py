@@ -14,7 +14,8 @@ _shipped: set[str] = set()
 
 
 def session(name: str = "quarryleaf", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC; sizes of partitions are left to the cluster unless given."""
+    """A session with adaptive execution and UTC, whose Python workers know this package; sizes of partitions are left to
+    the cluster unless given."""
     builder = SparkSession.builder.appName(name)
     if master:
         builder = builder.master(master)
@@ -24,7 +25,7 @@ def session(name: str = "quarryleaf", master: str | None = None, **conf: str) ->
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
     }
-    return builder.config(map=defaults | conf).getOrCreate()
+    return ship(builder.config(map=defaults | conf).getOrCreate())
 
 
 def ship(spark: SparkSession) -> SparkSession:
