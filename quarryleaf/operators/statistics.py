@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryleaf.operators.running import cut, running_totals
+
 
 # distributions -------------------------------------------------------------------------------------------------------
 
@@ -212,12 +214,17 @@ def trends(series: DataFrame, by: str, x: str, y: str, serial: bool = False) ->
 
 
 def adjusted_p(df: DataFrame, p: str, into: str = "p_adjusted") -> DataFrame:
-    """Step-up false-discovery adjustment over all rows with a p; nulls stay. For families of tests, so a small frame."""
-    w = Window.partitionBy(F.col(p).isNull())
-    rank = F.row_number().over(w.orderBy(p))
-    rows = df.withColumn("_raw", F.col(p) * F.count(p).over(w) / rank).withColumn("_rank", rank)
-    least = F.min("_raw").over(w.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(into, F.when(F.col(p).isNotNull(), F.least(least, F.lit(1.0)))).drop("_raw", "_rank")
+    """Step-up false-discovery adjustment over all rows with a p; nulls stay. A family may have any number of rows."""
+    counts = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
+    # of equal values the last has the least ratio: one row a distinct value, ranked by ranges
+    ranked = running_totals(counts, [F.asc("_p")], {"_upto": F.col("_n")})
+    whole = counts.agg(F.sum("_n").alias("_all"))
+    raw = cut(ranked.join(F.broadcast(whole)).select("_p", (F.col("_p") * F.col("_all") / F.col("_upto")).alias("_raw")).repartitionByRange(F.desc("_p")).withColumn("_range", F.spark_partition_id()))  # one row
+    own = Window.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    above = raw.groupBy("_range").agg(F.min("_raw").alias("_low")).select("_range", F.min("_low").over(before).alias("_low"))  # a row a range
+    low = raw.withColumn("_least", F.min("_raw").over(own)).join(F.broadcast(above), "_range").select("_p", F.least("_least", F.coalesce("_low", "_least"), F.lit(1.0)).alias(into))
+    return df.join(low, F.col(p) == F.col("_p"), "left").select(*df.columns, into)
 
 
 def best_break(series: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -273,55 +280,71 @@ def structural_breaks(series: DataFrame, by: str, x: str, y: str, draws: int = 2
 
 # heavy tails ---------------------------------------------------------------------------------------------------------
 
-def _ks(sorted_values: np.ndarray, cdf: np.ndarray) -> float:
-    n = len(sorted_values)
-    return float(max((np.arange(1, n + 1) / n - cdf).max(), (cdf - np.arange(n) / n).max()))
+def _ks(counts: np.ndarray, cdf: np.ndarray) -> float:
+    """Kolmogorov distance of distinct ascending values with these counts from a distribution."""
+    upto, n = np.cumsum(counts), counts.sum()
+    return float(max((upto / n - cdf).max(), (cdf - (upto - counts) / n).max()))
+
+
+#: Draws of one simulated tail, at most: a larger tail's distance is compared by its root-n multiple, whose law is known
+#: not to depend on n any more at this size.
+MOST_DRAWN = 10_000
 
 
-def fit_tail(values: np.ndarray, draws: int = 100, seed: int = 42) -> list[dict]:
+def fit_tail(values: np.ndarray, draws: int = 100, seed: int = 42, counts: np.ndarray | None = None) -> list[dict]:
     """Power law (its start by least Kolmogorov distance over 21 quantiles), log-normal and exponential of the tail:
-    parameters, distance, log likelihood, AIC; for the power law also a parametric bootstrap p. Empty if too few."""
-    v = np.sort(values[np.isfinite(values) & (values > 0)])
-    if len(v) < 10:
+    parameters, distance, log likelihood, AIC; for the power law also a parametric bootstrap p. Empty if too few. Values
+    may come with counts: every sum is weighted, nothing is repeated."""
+    counts = np.ones(len(values), dtype=np.int64) if counts is None else counts
+    good = np.isfinite(values) & (values > 0)
+    v, at = np.unique(values[good], return_inverse=True)
+    w = np.bincount(at, weights=counts[good], minlength=len(v)).astype(np.int64)
+    total = int(w.sum())
+    if total < 10:
         return []
+    upto = np.cumsum(w)
+    place = np.linspace(0, 0.8, 21) * (total - 1)
+    low, high = (v[np.searchsorted(upto, np.floor(place) + k, side="right").clip(max=len(v) - 1)] for k in (0, 1))
     best = None
-    for start in np.unique(np.quantile(v, np.linspace(0, 0.8, 21))):
-        tail = v[v >= start]
-        logs = float(np.log(tail / start).sum())
-        if len(tail) >= 10 and logs > 0:
-            a = 1 + len(tail) / logs
-            d = _ks(tail, 1 - (tail / start) ** (1 - a))
+    for start in np.unique(low + (high - low) * (place - np.floor(place))):
+        some = v >= start
+        tail, n = v[some], w[some]
+        logs = float((n * np.log(tail / start)).sum())
+        if n.sum() >= 10 and logs > 0:
+            a = 1 + n.sum() / logs
+            d = _ks(n, 1 - (tail / start) ** (1 - a))
             if best is None or d < best[0]:
-                best = (d, float(start), a, tail)
+                best = (d, float(start), float(a), tail, n)
     if best is None:
         return []
-    d, start, a, tail = best
-    n, logs = len(tail), np.log(tail)
-    mu, sigma = float(logs.mean()), float(logs.std(ddof=1))
-    scale = float((tail - start).mean())
+    d, start, a, tail, w = best
+    n, logs = int(w.sum()), np.log(tail)
+    mu = float((w * logs).sum() / n)
+    sigma = math.sqrt(float((w * (logs - mu) ** 2).sum()) / (n - 1))
+    scale = float((w * (tail - start)).sum() / n)
     rng = np.random.default_rng(seed)
-    worse = 0
+    worse, m = 0, min(n, MOST_DRAWN)
     for _ in range(draws):
-        sim = np.sort(start * (1 - rng.random(n)) ** (-1 / (a - 1)))
-        b = 1 + n / np.log(sim / start).sum()
-        worse += _ks(sim, 1 - (sim / start) ** (1 - b)) >= d
-    phi = np.array([1 - normal_tail((x - mu) / sigma) for x in logs]) if sigma > 0 else np.ones(n)
+        sim = np.sort(start * (1 - rng.random(m)) ** (-1 / (a - 1)))
+        b = 1 + m / np.log(sim / start).sum()
+        worse += _ks(np.ones(m), 1 - (sim / start) ** (1 - b)) * math.sqrt(m) >= d * math.sqrt(n)
+    phi = np.array([1 - normal_tail((x - mu) / sigma) for x in logs]) if sigma > 0 else np.ones(len(logs))
+    normal = -logs - math.log(sigma * math.sqrt(2 * math.pi)) - (logs - mu) ** 2 / (2 * sigma**2) if sigma > 0 else None
     out = [
-        {"model": "power_law", "a": a, "b": start, "ks": d, "p": worse / draws if draws else None, "ll": float(n * math.log((a - 1) / start) - a * np.log(tail / start).sum()), "k": 1},
-        {"model": "log_normal", "a": mu, "b": sigma, "ks": _ks(tail, phi), "p": None, "ll": float((-logs - math.log(sigma * math.sqrt(2 * math.pi)) - (logs - mu) ** 2 / (2 * sigma**2)).sum()) if sigma > 0 else float("-inf"), "k": 2},
-        {"model": "exponential", "a": scale, "b": start, "ks": _ks(tail, 1 - np.exp(-(tail - start) / scale)) if scale > 0 else 1.0, "p": None, "ll": float(-n * math.log(scale) - n) if scale > 0 else float("-inf"), "k": 1},
+        {"model": "power_law", "a": a, "b": start, "ks": d, "p": worse / draws if draws else None, "ll": float(n * math.log((a - 1) / start) - a * (w * np.log(tail / start)).sum()), "k": 1},
+        {"model": "log_normal", "a": mu, "b": sigma, "ks": _ks(w, phi), "p": None, "ll": float((w * normal).sum()) if sigma > 0 else float("-inf"), "k": 2},
+        {"model": "exponential", "a": scale, "b": start, "ks": _ks(w, 1 - np.exp(-(tail - start) / scale)) if scale > 0 else 1.0, "p": None, "ll": float(-n * math.log(scale) - n) if scale > 0 else float("-inf"), "k": 1},
     ]
     least = min(range(3), key=lambda i: 2 * out[i]["k"] - 2 * out[i]["ll"])
     return [{**m, "aic": 2 * m.pop("k") - 2 * m["ll"], "tail_n": n, "best": i == least} for i, m in enumerate(out)]
 
 
 def heavy_tails(df: DataFrame, value: str, draws: int = 100, seed: int = 42) -> DataFrame:
-    """The fits of `fit_tail` over a corpus's counts: values are counted by Spark, one task expands the counts."""
+    """The fits of `fit_tail` over a corpus's counts: Spark counts the values, one task fits the distinct ones."""
     counts = df.where(F.col(value) > 0).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        rows = fit_tail(np.repeat(pdf["v"].to_numpy(), pdf["n"].to_numpy()), draws, seed)
+        rows = fit_tail(pdf["v"].to_numpy(), draws, seed, pdf["n"].to_numpy())
         return pd.DataFrame(rows, columns=["model", "a", "b", "ks", "p", "ll", "aic", "tail_n", "best"])
 
     return counts.groupBy(F.lit(1).alias("all")).applyInPandas(run, "model string, a double, b double, ks double, p double, ll double, aic double, tail_n long, best boolean")
@@ -357,27 +380,29 @@ def _log_count(y: np.ndarray, mu: np.ndarray, alpha: float) -> np.ndarray:
     return lg(y + r) - lg(y + 1) - math.lgamma(r) + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu))
 
 
-def count_families(y: np.ndarray, x: np.ndarray, offset: np.ndarray) -> dict[str, dict]:
+def count_families(y: np.ndarray, x: np.ndarray, offset: np.ndarray, counts: np.ndarray | None = None) -> dict[str, dict]:
     """Poisson, negative binomial and both with extra zeros: coefficients, means, dispersion, zero share, AIC. The
-    dispersion is a moment estimate; extra zeros are fitted by expectation and maximisation."""
-    beta, mu = fit_counts(y, x, offset)
-    alpha = max(float((((y - mu) ** 2 - y) / mu**2).mean()), 1e-6)
+    dispersion is a moment estimate; extra zeros are fitted by expectation and maximisation. Rows may come with counts."""
+    n = np.ones(len(y)) if counts is None else counts.astype(float)
+    mean = lambda a: float((n * a).sum() / n.sum())
+    beta, mu = fit_counts(y, x, offset, weights=n)
+    alpha = max(mean(((y - mu) ** 2 - y) / mu**2), 1e-6)
     out = {}
     for name, a, inflated in (("poisson", 0.0, False), ("negative_binomial", alpha, False), ("zero_inflated_poisson", 0.0, True), ("zero_inflated_negative_binomial", alpha, True)):
         kind = "poisson" if a == 0 else "nb"
-        b, m = fit_counts(y, x, offset, kind, a)
+        b, m = fit_counts(y, x, offset, kind, a, n)
         pi = 0.0
         if inflated:
             pi = 0.1 if (y == 0).any() else 0.0
             for _ in range(60 if pi else 0):
                 zero = np.exp(_log_count(np.zeros(len(y)), m, a))
                 extra = np.where(y == 0, pi / (pi + (1 - pi) * zero), 0.0)
-                pi = float(extra.mean())
-                b, m = fit_counts(y, x, offset, kind, a, 1 - extra)
+                pi = mean(extra)
+                b, m = fit_counts(y, x, offset, kind, a, n * (1 - extra))
         p = _log_count(y, m, a)
-        ll = float(np.where(y == 0, np.log(pi + (1 - pi) * np.exp(p)), np.log(max(1 - pi, 1e-300)) + p).sum())
+        ll = float((n * np.where(y == 0, np.log(pi + (1 - pi) * np.exp(p)), np.log(max(1 - pi, 1e-300)) + p)).sum())
         k = x.shape[1] + (a > 0) + inflated
-        zero_share = float((pi + (1 - pi) * np.exp(_log_count(np.zeros(len(y)), m, a))).mean())
+        zero_share = mean(pi + (1 - pi) * np.exp(_log_count(np.zeros(len(y)), m, a)))
         out[name] = {"beta": b, "mu": m, "alpha": a, "pi": pi, "ll": ll, "aic": 2 * k - 2 * ll, "zero_share": zero_share}
     return out
 
@@ -396,26 +421,28 @@ def citation_determinants(df: DataFrame, response: str, features: Sequence[str],
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) > most_rows:
             raise ValueError(f"{len(pdf)} different rows; at most {most_rows} are fitted here")
-        pdf = pdf.sort_values(["y", "age", *names]).loc[lambda t: t.index.repeat(t["n"])]
+        pdf = pdf.sort_values(["y", "age", *names])
         columns = ["family", "chosen", "aic", "zero_share", "feature", "coefficient", "rate_ratio", "low", "high", "vif"]
-        if len(pdf) < 20:
+        n = pdf["n"].to_numpy(dtype=float)
+        if n.sum() < 20:
             return pd.DataFrame(columns=columns)
         y, x = pdf["y"].to_numpy(), np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy()])
-        fits = count_families(y, x, np.log(np.maximum(pdf["age"].to_numpy(), 1) + 1))
+        fits = count_families(y, x, np.log(np.maximum(pdf["age"].to_numpy(), 1) + 1), n)
         best, rows = min(fits, key=lambda f: fits[f]["aic"]), []
         for family, fit in fits.items():
             mu = fit["mu"]
             w = mu / (1 + fit["alpha"] * mu)
-            bread = np.linalg.pinv(x.T @ (x * w[:, None]))
+            bread = np.linalg.pinv(x.T @ (x * (n * w)[:, None]))
             leverage = np.clip(w * np.einsum("ij,jk,ik->i", x, bread, x), 0, 0.999)
             score = x * ((y - mu) / (1 + fit["alpha"] * mu) / (1 - leverage))[:, None]
-            se = np.sqrt(np.diag(bread @ (score.T @ score) @ bread))
+            se = np.sqrt(np.diag(bread @ (score.T @ (score * n[:, None])) @ bread))
             for i, name in enumerate(["intercept", *names]):
                 others = np.delete(x, i, axis=1)
                 vif = None
                 if i:
-                    rest = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
-                    vif = float(((x[:, i] - x[:, i].mean()) ** 2).sum() / max((rest**2).sum(), 1e-12))
+                    root = np.sqrt(n)
+                    rest = x[:, i] - others @ np.linalg.lstsq(others * root[:, None], x[:, i] * root, rcond=None)[0]
+                    vif = float((n * (x[:, i] - (n * x[:, i]).sum() / n.sum()) ** 2).sum() / max((n * rest**2).sum(), 1e-12))
                 b = float(fit["beta"][i])
                 rows.append((family, family == best, fit["aic"], fit["zero_share"], name, b, math.exp(b), math.exp(b - 1.96 * se[i]), math.exp(b + 1.96 * se[i]), vif))
         return pd.DataFrame(rows, columns=columns)
@@ -520,9 +547,9 @@ def threshold_metrics(df: DataFrame, truth: str, score: str, threshold: float) -
 def threshold_curve(df: DataFrame, truth: str, score: str) -> DataFrame:
     """The same at every distinct score, from counts per score."""
     counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(truth)).alias("p"), F.count_if(~F.col(truth)).alias("n"))
-    w = Window.partitionBy(F.lit(0))
-    down = w.orderBy(F.desc("threshold"))
-    s = counts.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), (F.sum("p").over(w) - F.sum("p").over(down)).alias("fn"), (F.sum("n").over(w) - F.sum("n").over(down)).alias("tn"))
+    down = running_totals(counts, [F.desc("threshold")], {"tp": F.col("p"), "fp": F.col("n")})
+    all_ = counts.agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    s = down.join(F.broadcast(all_)).select("threshold", "tp", "fp", (F.col("_p") - F.col("tp")).alias("fn"), (F.col("_n") - F.col("fp")).alias("tn"))  # one row
     return s.select("*", *(c.alias(n) for n, c in _rates(*(F.col(x) for x in ("tp", "fp", "fn", "tn"))).items()))
 
 

@@ -22,12 +22,15 @@ def tokens(text: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score, rank): Okapi BM25 of the best k documents of each query; scores above 0 only.
 
-    Only postings of query terms are counted: documents are tokenised once, terms outside the queries are dropped before
-    any shuffle. Query terms have two characters or more; a repeated one counts repeatedly. queries: query_id, query.
+    Only postings of query terms leave a document: others are dropped before any shuffle, and a document's postings of a
+    term are counted where it is read. Query terms have two characters or more; a repeated one counts repeatedly.
+    queries: query_id, query.
     """
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).where(F.length("term") > 1).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    text = F.lower(F.coalesce(text_col, F.lit("")))
+    # lengths need no tokens, only their number
+    size = docs.agg(F.count("*").alias("n_docs"), F.avg(F.greatest(F.regexp_count(text, F.lit(TOKEN)), F.lit(1))).alias("avg_dl"))
     words = docs.select(F.col(id_col).alias("doc_id"), tokens(F.coalesce(text_col, F.lit(""))).alias("ts")).select("doc_id", "ts", F.greatest(F.size("ts"), F.lit(1)).alias("dl"))
-    size = words.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     hits = words.select("doc_id", "dl", F.explode("ts").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = hits.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -37,6 +40,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = 1.5, b: f
     return top_k(scored.where("score > 0"), "query_id", "score", "doc_id", k)
 
 
+def containing(docs: DataFrame, passages: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """(query_id, doc_id): documents that hold a passage as it is written. Passages are looked up by `words` tokens from
+    their second on, which must stand in the document as a window of tokens; only these pairs are compared. A passage of
+    fewer tokens inside is compared with every document. passages: query_id, query; empty ones are in none."""
+    asked = passages.where("query <> ''").select("query_id", "query", F.regexp_extract_all("query", F.lit(TOKEN), F.lit(0)).alias("ts"))
+    long = asked.where(F.size("ts") >= words + 2).select("query_id", "query", F.xxhash64(F.slice("ts", 2, words)).alias("key"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("ts", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    spots = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ts") - words + 1), lambda i: F.xxhash64(F.slice("ts", i, words))))
+    windows = texts.where(F.size("ts") >= words).select("doc_id", "text", F.explode(spots).alias("key"))
+    found = windows.join(long, "key").where(F.contains("text", "query")).select("query_id", "doc_id")
+    short = asked.where(F.size("ts") < words + 2)
+    # few passages are so short; their pairs are an exact way for these alone
+    rest = texts.select("doc_id", "text").join(short, F.contains("text", "query")).select("query_id", "doc_id")
+    return found.unionByName(rest).distinct()
+
+
 def top_k(scored: DataFrame, group: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each group with their rank from 1 (ties: the smaller id)."""
     w = Window.partitionBy(group).orderBy(F.desc(score), tie)
@@ -92,8 +111,8 @@ def ranking_quality(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
 
 # Words left out of the word-frequency law.
 STOP_WORDS = (
-    "the of and in to for with on as by at an be is are from that this these it its or can has have been was were which than also not but "
-    "using used use based paper proposed such between into their both two"
+    "the of and in to for with on as by at an be is are from that this these it its or can has have been was were into also such than through "
+    "which our their paper presents proposed method based using results study analysis model system systems approach case different new"
 ).split()
 
 
@@ -110,7 +129,7 @@ def zipf(docs: DataFrame, text_col: str = "text", most: int = 500, stop: Sequenc
 def class_tfidf(docs: DataFrame, epoch: str, theme: str, text_col: str = "text", top: int = 5, least_docs: int = 10, vocabulary: int = 1500, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
     """(epoch, theme, rank, term, score): terms that mark a theme within an epoch: tf * ln(1 + A / f), f the term's
     count and A the mean tokens of a theme in the epoch, over the corpus's most frequent terms. Epochs need `least_docs`
-    documents and two themes."""
+    documents and two themes. `stop`: words left out; a general list of a language is the caller's, as a parameter."""
     big = docs.groupBy(epoch).agg(F.count("*").alias("d"), F.count_distinct(theme).alias("t")).where((F.col("d") >= least_docs) & (F.col("t") >= 2)).select(epoch)
     words = docs.join(big, epoch, "left_semi").select(epoch, theme, F.explode(tokens(F.col(text_col))).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*stop))
     tf = words.groupBy(epoch, theme, "term").agg(F.count("*").alias("tf"))
@@ -227,24 +246,21 @@ def taxonomy_precision(docs: DataFrame, id_col: str, text_col: str, patterns: Ma
 
 
 def chunk(text: str, most: int = 1500, overlap: int = 200) -> list[str]:
-    """Windows of at most `most` characters; one ends at its last blank line, or else after its last full stop, if that
-    lies in its second half; the next begins `overlap` characters before that end."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        stop = min(start + most, n)
-        if stop < n:
-            for mark, extra in (("\n\n", 0), (". ", 1)):
-                cut = text.rfind(mark, start, stop)
-                if cut >= start + most // 2:
-                    stop = cut + extra
-                    break
-        piece = text[start:stop].strip()
-        if piece:
-            out.append(piece)
-        if stop >= n:
+    """Windows of at most `most` characters of the trimmed text, trimmed. One ends behind the first character of its last
+    blank line, or else behind its last full stop, where that lies in its second half; the next begins `overlap`
+    characters before that end."""
+    body = text.strip()
+    pieces, start = [], 0
+    while start < len(body):
+        stop = start + most
+        if stop < len(body):
+            cuts = (body.rfind(mark, start, stop) for mark in ("\n\n", ". "))
+            stop = next((cut + 1 for cut in cuts if cut - start >= most // 2), stop)
+        pieces.append(body[start:stop].strip())
+        if stop >= len(body):
             break
         start = max(stop - overlap, start + 1)
-    return out
+    return [p for p in pieces if p]
 
 
 @F.pandas_udf(ArrayType(StringType()))

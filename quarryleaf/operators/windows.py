@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryleaf.operators.counts import source_counts_by
+from quarryleaf.operators.running import running_totals
 
 
 def running(order: str, by: Sequence[str] = ()):
@@ -68,19 +69,17 @@ def value_counts(df: DataFrame, value: str) -> DataFrame:
 
 def lorenz(df: DataFrame, value: str) -> DataFrame:
     """(people, output): cumulative shares of owners, smallest first, and of what they hold, from the origin on; one
-    point for each distinct value, so the running sums cover distinct values only."""
-    w = running("v")
+    point for each distinct value."""
     counts = value_counts(df, value)
-    points = counts.select((F.sum("n").over(w)).alias("p"), F.sum(F.col("n") * F.col("v")).over(w).alias("o"))
+    points = running_totals(counts, [F.asc("v")], {"p": F.col("n"), "o": F.col("n") * F.col("v")})
     totals = counts.agg(F.sum("n").alias("pn"), F.sum(F.col("n") * F.col("v")).alias("on"))
-    shares = points.join(totals).select((F.col("p") / F.col("pn")).alias("people"), F.try_divide("o", "on").alias("output"))
+    shares = points.join(F.broadcast(totals)).select((F.col("p") / F.col("pn")).alias("people"), F.try_divide("o", "on").alias("output"))  # one row
     return shares.unionByName(totals.select(F.lit(0.0).alias("people"), F.lit(0.0).alias("output")))
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
     """2 * sum(i * x_i) / (n * sum(x)) - (n + 1) / n over ascending x; 0 for fewer than two values or a zero sum."""
-    w = running("v")
-    counts = value_counts(df, value).withColumn("upto", F.sum("n").over(w))
+    counts = running_totals(value_counts(df, value), [F.asc("v")], {"upto": F.col("n")})
     # ranks of one value's copies run from upto - n + 1 to upto
     weighted = F.sum(F.col("v") * F.col("n") * (2 * F.col("upto") - F.col("n") + 1) / 2)
     sums = counts.agg(weighted.alias("ix"), F.sum(F.col("v") * F.col("n")).alias("x"), F.sum("n").alias("n"))
@@ -90,17 +89,12 @@ def gini(df: DataFrame, value: str) -> DataFrame:
 
 def bradford_zones(counts: DataFrame, key: str, n: str, zones: int = 3) -> DataFrame:
     """(zone, venues, articles, multiplier): keys by descending count (ties: key) fill zones of equal shares in turn; a
-    key may open one zone at most. Input: one row per key. The list of keys is ordered on one row of a fold."""
-    ordered = counts.agg(F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("m"), F.col(key).cast("string").alias("k")))).alias("keys"), F.sum(n).alias("total"))
-    start = F.struct(F.lit(1).alias("zone"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<zone:int,n:bigint>>").alias("out"))
-
-    def place(acc: Column, x: Column) -> Column:
-        grown = acc["sum"] - x["m"]
-        opens = (acc["sum"] >= F.col("total") / zones * acc["zone"]) & (acc["zone"] < zones)
-        zone = F.when(opens, acc["zone"] + 1).otherwise(acc["zone"])
-        return F.struct(zone.alias("zone"), grown.alias("sum"), F.concat(acc["out"], F.array(F.struct(zone.alias("zone"), (-x["m"]).alias("n")))).alias("out"))
-
-    rows = ordered.select(F.explode(F.aggregate("keys", start, place)["out"]).alias("p")).select("p.zone", "p.n")
+    key may open one zone at most. Input: one row per key, of which any number are ordered by ranges."""
+    whole = counts.agg(F.sum(n).alias("_whole"))
+    placed = running_totals(counts.select(F.col(key).cast("string").alias("k"), F.col(n).alias("n")), [F.desc("n"), F.asc("k")], {"upto": F.col("n"), "place": F.lit(1)})
+    due = 1 + F.floor((F.col("upto") - F.col("n")) * zones / F.col("_whole"))
+    zone = F.least(due, F.col("place"), F.lit(zones)).cast("int")  # a key as large as a zone stands among the first ones
+    rows = placed.join(F.broadcast(whole)).select(zone.alias("zone"), "n")  # one row
     sums = rows.groupBy("zone").agg(F.count("*").alias("venues"), F.sum("n").alias("articles"))
     return sums.withColumn("multiplier", F.col("venues") / F.lag("venues").over(Window.partitionBy(F.lit(0)).orderBy("zone")))
 

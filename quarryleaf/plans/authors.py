@@ -35,9 +35,9 @@ def _(spark, d):
     return op.top(author_rows(spark, d), 15, most_position=1)
 
 
-@query("author_bylines", "SELECT doc_id, CAST(i - 1 AS INT) AS position, trim(w[i]) AS author FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(split_part(text, chr(10), 1), ',') AS w FROM documents)) WHERE trim(w[i]) <> ''")
+@query("author_bylines", "SELECT doc_id, CAST(i - 1 AS INT) AS position, trim(w[i]) AS author FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(10), ','), ',') AS w FROM documents)) WHERE trim(w[i]) <> ''")
 def _(spark, d):
-    lists = table(spark, d, "documents").select("doc_id", F.split(F.split_part("text", F.lit("\n"), F.lit(1)), ",").alias("authors"))
+    lists = table(spark, d, "documents").select("doc_id", F.split("text", "[,\n]", -1).alias("authors"))
     return op.bylines(lists)
 
 

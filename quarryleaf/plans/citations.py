@@ -79,12 +79,12 @@ def _(spark, d):
     return op.tier_volume(op.with_tier(lines, tiers), ["A1", "A3"])
 
 
-_KW = "v AS (SELECT lower(trim(u)) AS value, CAST(2000 + doc_id % 25 AS INT) AS year FROM (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS u FROM documents) WHERE trim(u) <> ''), c AS (SELECT value, year, count(*) AS c FROM v GROUP BY 1, 2), t AS (SELECT year, sum(c) AS t FROM c GROUP BY 1), k AS (SELECT value FROM c GROUP BY 1 HAVING sum(c) >= 20), g AS (SELECT k.value, t.year, coalesce(c.c, 0) / t.t AS share FROM k CROSS JOIN t LEFT JOIN c ON c.value = k.value AND c.year = t.year)"
+_KW = "v AS (SELECT lower(trim(u)) AS value, CAST(2000 + doc_id % 25 AS INT) AS year FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS u FROM documents) WHERE trim(u) <> ''), c AS (SELECT value, year, count(*) AS c FROM v GROUP BY 1, 2), t AS (SELECT year, sum(c) AS t FROM c GROUP BY 1), k AS (SELECT value FROM c GROUP BY 1 HAVING sum(c) >= 20), g AS (SELECT k.value, t.year, coalesce(c.c, 0) / t.t AS share FROM k CROSS JOIN t LEFT JOIN c ON c.value = k.value AND c.year = t.year)"
 
 
 @query("keyword_share_trend", f"WITH {_KW} SELECT value, (SELECT CAST(sum(c) AS BIGINT) FROM c WHERE c.value = g.value) AS n, round(regr_slope(share, year), 7) AS slope FROM g GROUP BY 1")
 def _(spark, d):
-    docs = table(spark, d, "documents").select((2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ").alias("k"))
+    docs = table(spark, d, "documents").select((2000 + F.col("doc_id") % 25).cast("int").alias("year"), F.split("text", "[ \n]", -1).alias("k"))
     return rounded(op.keyword_share_trend(explode_values(docs, "k", ["year"])), 7, "slope")
 
 
@@ -96,9 +96,9 @@ def _(spark, d):
     return rounded(op.cognitive_distance(author_rows(spark, d), points, "citation_count"), 5, "pearson", "spearman")
 
 
-@query("first_titles", "SELECT source, string_agg(title, ' | ' ORDER BY doc_id) AS titles FROM (SELECT source, doc_id, substr(text, 1, 20) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id, substr(text, 1, 20)) AS r FROM documents) WHERE r <= 3 GROUP BY 1")
+@query("first_titles", "SELECT source, string_agg(title, ' | ' ORDER BY doc_id) AS titles FROM (SELECT source, doc_id, md5(text) AS title, row_number() OVER (PARTITION BY source ORDER BY doc_id, md5(text)) AS r FROM documents) WHERE r <= 3 GROUP BY 1")
 def _(spark, d):
-    return op.first_titles(table(spark, d, "documents").withColumn("title", F.substring("text", 1, 20)), "source", "title", "doc_id")
+    return op.first_titles(table(spark, d, "documents").withColumn("title", F.md5(F.col("text").cast("binary"))), "source", "title", "doc_id")
 
 
 @query("screening_report", "WITH m AS (SELECT doc_id, round((doc_id * 7919 % 1000) / 1000.0 - 0.5, 6) AS margin, n_chars > 500 AS a FROM documents) SELECT doc_id, margin, (SELECT round(quantile_cont(margin, 0.5), 9) FROM m WHERE a) AS median, (SELECT count(*) FROM m WHERE margin < 0) AS below FROM m ORDER BY abs(margin), doc_id LIMIT 25")

@@ -100,11 +100,11 @@ def _(spark, d):
     return op.summary(articles(spark, d), ["venue", "year"], ["citation_count"], ["venue"]).withColumn("mean_citation_count", F.round("mean_citation_count", 6))
 
 
-_KW = "k AS (SELECT doc_id, lang, source, string_split(split_part(text, chr(10), 1), ' ') AS keywords FROM documents), v AS (SELECT doc_id, lang, source, lower(trim(u)) AS value FROM (SELECT doc_id, lang, source, unnest(keywords) AS u FROM k) WHERE trim(u) <> '')"
+_KW = "k AS (SELECT doc_id, lang, source, string_split(replace(text, chr(10), ' '), ' ') AS keywords FROM documents), v AS (SELECT doc_id, lang, source, lower(trim(u)) AS value FROM (SELECT doc_id, lang, source, unnest(keywords) AS u FROM k) WHERE trim(u) <> '')"
 
 
 def _keywords(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ").alias("keywords"))
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.split("text", "[ \n]", -1).alias("keywords"))
 
 
 @query("keyword_counts", f"WITH {_KW} SELECT value, count(*) AS n, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1 FROM v GROUP BY value ORDER BY n DESC, value LIMIT 20")

@@ -57,9 +57,9 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", names.normal_doi(bare).alias("id"), names.short_id(F.col("url")).alias("last"))
 
 
-@query("normalised_titles", "SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents")
+@query("normalised_titles", "SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS title FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", names.normal_title(F.split_part("text", F.lit("\n"), F.lit(1))).alias("title"))
+    return table(spark, d, "documents").select("doc_id", names.normal_title(F.col("text")).alias("title"))
 
 
 _KIND = "CASE WHEN regexp_matches(t, '\\b(review|survey|overview)\\b') THEN 'review' WHEN k IN ('conference', 'inproceedings') THEN 'conference' WHEN regexp_matches(v, '\\b(conference|symposium|workshop)\\b') THEN 'conference' WHEN k = 'article' THEN 'journal' ELSE 'other' END"

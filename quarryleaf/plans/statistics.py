@@ -8,7 +8,7 @@ from quarryleaf.operators import forecasting as fc
 from quarryleaf.operators import statistics as op
 from quarryleaf.plans.adapters import ARTICLES, articles, table
 from quarryleaf.plans.text import rounded
-from quarryleaf.registry import SQL, query
+from quarryleaf.registry import query
 
 _METRICS = {"citation_count": "log1p", "reference_count": "identity"}
 _B = f"{ARTICLES}, b AS (SELECT source = 'F' AS g, 'citation_count' AS metric, 'log1p' AS transform, ln(1 + citation_count) AS v FROM articles WHERE citation_count >= 0 UNION ALL SELECT source = 'F', 'reference_count', 'identity', reference_count FROM articles WHERE reference_count >= 0)"
@@ -48,10 +48,22 @@ def _(spark, d):
     return rounded(rounded(op.slopes(yearly(spark, d), "k", "year", "n"), 6, "slope", "r2"), 3, "intercept")
 
 
-@query("slope_intervals")
+# Student's 97.5 % quantiles of 1 to 12 degrees of freedom.
+_STUDENT = "[12.7062047, 4.3026527, 3.1824463, 2.7764451, 2.5705818, 2.4469118, 2.3646243, 2.3060041, 2.2621572, 2.2281389, 2.2009852, 2.1788128]"
+
+
+@query("slope_intervals", f"""WITH {_SERIES}, s AS (SELECT k, count(*) AS n, regr_slope(n, year) AS slope, regr_sxx(n, year) AS sxx, regr_syy(n, year) AS syy, regr_sxy(n, year) AS sxy FROM y GROUP BY 1),
+e AS (SELECT k, slope, sqrt(greatest(syy - sxy * sxy / sxx, 0) / (n - 2) / sxx) AS se, ({_STUDENT})[n - 2] AS q FROM s)
+SELECT k, round(slope, 5) AS slope, round(se, 5) AS stderr, round(slope - q * se, 4) AS low, round(slope + q * se, 4) AS high FROM e""")
+def _(spark, d):
+    out = rounded(op.slope_intervals(yearly(spark, d), "k", "year", "n"), 5, "slope", "stderr")
+    return rounded(out, 4, "low", "high").drop("p")
+
+
+@query("slope_tests")
 def _(spark, d):
-    """Student's quantile is no SQL function; checked in tests against known values."""
-    return op.slope_intervals(yearly(spark, d), "k", "year", "n")
+    """Student's distribution is no SQL function; checked in tests against known values."""
+    return op.slope_intervals(yearly(spark, d), "k", "year", "n").select("k", "p")
 
 
 @query("mann_kendall", f"WITH {_SERIES}, p AS (SELECT a.k, sign(b.n - a.n) AS s, (b.n - a.n) / (b.year - a.year) AS m FROM y a JOIN y b ON a.k = b.k AND a.year < b.year) SELECT k, (SELECT CAST(count(*) AS INT) FROM y WHERE y.k = p.k) AS n, CAST(sum(s) AS DOUBLE) AS s, round(quantile_cont(m, 0.5), 6) AS sen_slope FROM p GROUP BY 1")
@@ -64,18 +76,13 @@ def _(spark, d):
     return op.trends(yearly(spark, d), "k", "year", "n")
 
 
-@query("adjusted_p_values", "WITH p AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000) / 1000.0 * (p_size / 50.0) AS p FROM part WHERE p_partkey <= 200), r AS (SELECT k, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, k) AS raw, row_number() OVER (ORDER BY p, k) AS i FROM p) SELECT k, round(least(min(raw) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1), 9) AS p_adjusted FROM r")
-def _(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 1000) / 1000.0 * (F.col("p_size") / 50.0)).alias("p"))
-    return rounded(op.adjusted_p(p, "p").select("k", "p_adjusted"), 9, "p_adjusted")
-
-
-@query("adjusted_p_values_all", SQL["adjusted_p_values"].replace(" WHERE p_partkey <= 200", ""))
+@query("adjusted_p_values", "WITH p AS (SELECT p_partkey AS k, (p_partkey * 7919 % 1000) / 1000.0 * (p_size / 50.0) AS p FROM part), r AS (SELECT k, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, k) AS raw, row_number() OVER (ORDER BY p, k) AS i FROM p) SELECT k, round(least(min(raw) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING), 1), 9) AS p_adjusted FROM r")
 def _(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), ((F.col("p_partkey") * 7919 % 1000) / 1000.0 * (F.col("p_size") / 50.0)).alias("p"))
     return rounded(op.adjusted_p(p, "p").select("k", "p_adjusted"), 9, "p_adjusted")
 
 
+
 _BREAK = """s AS (SELECT l_suppkey AS k, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS t, count(*) AS n FROM lineitem GROUP BY 1, 2),
 c AS (SELECT k, row_number() OVER w AS i, count(*) OVER (PARTITION BY k) AS m, sum(n) OVER w AS s, sum(n * n) OVER w AS q, sum(n) OVER (PARTITION BY k) AS ts, sum(n * n) OVER (PARTITION BY k) AS tq FROM s WINDOW w AS (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING)),
 r AS (SELECT k, m, i, round((q - s * s / i) + (tq - q) - (ts - s) * (ts - s) / (m - i), 9) AS rss, round(tq - ts * ts / m, 9) AS tss FROM c WHERE m >= 6 AND i >= 2 AND m - i >= 3)"""

@@ -17,7 +17,8 @@ def rounded(df, digits, *columns):
 
 
 def queries_of(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 6).alias("query"))
+    """All benchmark texts, whole."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def documents(spark, d):
@@ -27,7 +28,7 @@ def documents(spark, d):
 
 _DOCS = "d AS (SELECT doc_id, text, lang, source, CAST(2000 + doc_id % 25 AS INT) AS year, n_chars % 50 AS citation_count FROM documents)"
 _T = r"'[\p{L}\p{N}_]+'"
-_BM25 = rf"""q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark),
+_BM25 = rf"""q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 a AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), {_T})) AS term FROM q) WHERE length(term) > 1 GROUP BY 1, 2),
 w AS (SELECT doc_id, regexp_extract_all(lower(text), {_T}) AS ts FROM documents), l AS (SELECT doc_id, greatest(len(ts), 1) AS dl FROM w), s AS (SELECT count(*) AS n, avg(dl) AS adl FROM l),
 tf AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM w) WHERE term IN (SELECT term FROM a) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
@@ -40,41 +41,10 @@ def _(spark, d):
     return rounded(op.bm25(table(spark, d, "documents"), queries_of(spark, d), 20), 5, "score")
 
 
-_DENSE = "v AS (SELECT vec_id, embedding FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 40), dense AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e, embedding), 6) DESC, vec_id) AS rank FROM qv, v)"
-
-
-def dense(spark, d, k=50):
-    vectors = table(spark, d, "embeddings")
-    asked = vectors.where("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("e"))
-    dot = F.round(F.aggregate(F.zip_with("e", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x), 6)
-    # a fixed set of forty queries against all vectors
-    return op.top_k(vectors.join(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("doc_id"), dot.alias("score")), "query_id", "score", "doc_id", k)
-
-
-@query("rrf_fusion", f"""WITH {_BM25}, {_DENSE}, f AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.doc_id, y.doc_id) AS doc_id, x.rank AS rank_a, y.rank AS rank_b FROM (SELECT * FROM dense WHERE rank <= 50) x FULL JOIN (SELECT * FROM r WHERE rank <= 50) y ON x.query_id = y.query_id AND x.doc_id = y.doc_id),
-g AS (SELECT *, round(coalesce(1.0 / (60 + rank_a), 0) + coalesce(1.0 / (60 + rank_b), 0), 5) AS score FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g)
-SELECT query_id, doc_id, CAST(rank_a AS INT) AS rank_a, CAST(rank_b AS INT) AS rank_b, score, CAST(rank AS INT) AS rank FROM h WHERE rank <= 10""")
-def _(spark, d):
-    return op.fused(dense(spark, d), op.bm25(table(spark, d, "documents"), queries_of(spark, d), 50))
-
-
-@query("retrieval_quality", f"""WITH {_BM25}, k AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), n AS (SELECT query_id, count(*) AS n FROM k GROUP BY 1),
-h AS (SELECT query_id, count(*) FILTER (rank <= 10) AS found, min(rank) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM (SELECT * FROM r WHERE rank <= 20) JOIN k USING (query_id, doc_id) GROUP BY 1),
-i AS (SELECT query_id, sum(1 / log2(x + 1)) AS ideal FROM (SELECT query_id, unnest(range(1, least(n, 10) + 1)) AS x FROM n) GROUP BY 1)
-SELECT query_id, round(coalesce(found / n, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM n JOIN i USING (query_id) LEFT JOIN h USING (query_id)""")
-def _(spark, d):
-    docs = table(spark, d, "documents")
-    # a stated set of passages against all documents
-    relevant = docs.join(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("_t")), F.contains("text", "_t")).select("query_id", "doc_id")
-    return rounded(op.ranking_quality(op.bm25(docs, queries_of(spark, d), 20), relevant, 10), 6, "recall", "mrr", "ndcg")
-
-
-def whole_queries(spark, d):
-    """All benchmark texts, whole."""
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+_DENSE = "v AS (SELECT vec_id, embedding FROM embeddings), qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 50 = 0), dense AS (SELECT query_id, vec_id AS doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(e, embedding), 6) DESC, vec_id) AS rank FROM qv, v)"
 
 
-def dense_all(spark, d, k=50, items=False):
+def dense(spark, d, k=50, items=False):
     """The best k vectors of every vector whose id divides by 50, in blocks of both; with items, also of those that share
     their id with a benchmark item."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
@@ -85,26 +55,25 @@ def dense_all(spark, d, k=50, items=False):
     return op.dense_top_k(asked, rows, "id", "embedding", k)
 
 
-def whole(sql):
-    """SQL over the first six words of each benchmark text, for whole ones."""
-    return sql.replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text")
-
-
-@query("bm25_topk_all", whole(SQL["bm25_topk"]))
+@query("dense_topk", f"WITH {_DENSE} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM dense WHERE rank <= 50")
 def _(spark, d):
-    return rounded(op.bm25(table(spark, d, "documents"), whole_queries(spark, d), 20), 5, "score")
+    return dense(spark, d).select("query_id", "doc_id", "rank")
 
 
-@query("dense_topk_all", f"WITH {_DENSE.replace('vec_id < 40', 'vec_id % 50 = 0')} SELECT query_id, doc_id, CAST(rank AS INT) AS rank FROM dense WHERE rank <= 50")
+@query("rrf_fusion", f"""WITH {_BM25}, {_DENSE}, f AS (SELECT coalesce(x.query_id, y.query_id) AS query_id, coalesce(x.doc_id, y.doc_id) AS doc_id, x.rank AS rank_a, y.rank AS rank_b FROM (SELECT * FROM dense WHERE rank <= 50) x FULL JOIN (SELECT * FROM r WHERE rank <= 50) y ON x.query_id = y.query_id AND x.doc_id = y.doc_id),
+g AS (SELECT *, round(coalesce(1.0 / (60 + rank_a), 0) + coalesce(1.0 / (60 + rank_b), 0), 5) AS score FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM g)
+SELECT query_id, doc_id, CAST(rank_a AS INT) AS rank_a, CAST(rank_b AS INT) AS rank_b, score, CAST(rank AS INT) AS rank FROM h WHERE rank <= 10""")
 def _(spark, d):
-    return dense_all(spark, d).select("query_id", "doc_id", "rank")
+    return op.fused(dense(spark, d), op.bm25(table(spark, d, "documents"), queries_of(spark, d), 50))
 
 
-@query("retrieval_quality_all", whole(SQL["retrieval_quality"]))
+@query("retrieval_quality", f"""WITH {_BM25}, k AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), n AS (SELECT query_id, count(*) AS n FROM k GROUP BY 1),
+h AS (SELECT query_id, count(*) FILTER (rank <= 10) AS found, min(rank) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM (SELECT * FROM r WHERE rank <= 20) JOIN k USING (query_id, doc_id) GROUP BY 1),
+i AS (SELECT query_id, sum(1 / log2(x + 1)) AS ideal FROM (SELECT query_id, unnest(range(1, least(n, 10) + 1)) AS x FROM n) GROUP BY 1)
+SELECT query_id, round(coalesce(found / n, 0), 6) AS recall, round(coalesce(1 / first, 0), 6) AS mrr, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM n JOIN i USING (query_id) LEFT JOIN h USING (query_id)""")
 def _(spark, d):
-    docs, asked = table(spark, d, "documents"), whole_queries(spark, d)
-    relevant = docs.join(asked, F.contains("text", "query")).select("query_id", "doc_id")
-    return rounded(op.ranking_quality(op.bm25(docs, asked, 20), relevant, 10), 6, "recall", "mrr", "ndcg")
+    docs, asked = table(spark, d, "documents"), queries_of(spark, d)
+    return rounded(op.ranking_quality(op.bm25(docs, asked, 20), op.containing(docs, asked), 10), 6, "recall", "mrr", "ndcg")
 
 
 _STOP = ", ".join(f"'{w}'" for w in op.STOP_WORDS)
@@ -132,11 +101,11 @@ def _(spark, d):
     return op.theme_labels(table(spark, d, "documents"), "lang", "doc_id", "text")
 
 
-_KW = "k AS (SELECT DISTINCT doc_id AS id, lower(trim(u)) AS kw FROM (SELECT doc_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS u FROM documents) WHERE trim(u) <> ''), top AS (SELECT kw FROM k GROUP BY 1 ORDER BY count(*) DESC, kw LIMIT 50), v AS (SELECT * FROM k WHERE kw IN (SELECT kw FROM top)), c AS (SELECT kw, count(*) AS n FROM v GROUP BY 1), p AS (SELECT a.id, a.kw AS k1, b.kw AS k2 FROM v a JOIN v b ON a.id = b.id AND a.kw < b.kw), n AS (SELECT count(*) AS n FROM documents), z AS (SELECT k1, k2, count(*) AS observed, any_value(x.n * y.n / n.n) AS expected, (count(*) - any_value(x.n * y.n / n.n)) / sqrt(greatest(0.1, any_value(x.n * y.n / n.n * (1 - x.n / n.n) * (1 - y.n / n.n)))) AS z FROM p JOIN c x ON x.kw = k1 JOIN c y ON y.kw = k2, n GROUP BY 1, 2)"
+_KW = "k AS (SELECT DISTINCT doc_id AS id, lower(trim(u)) AS kw FROM (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS u FROM documents) WHERE trim(u) <> ''), top AS (SELECT kw FROM k GROUP BY 1 ORDER BY count(*) DESC, kw LIMIT 50), v AS (SELECT * FROM k WHERE kw IN (SELECT kw FROM top)), c AS (SELECT kw, count(*) AS n FROM v GROUP BY 1), p AS (SELECT a.id, a.kw AS k1, b.kw AS k2 FROM v a JOIN v b ON a.id = b.id AND a.kw < b.kw), n AS (SELECT count(*) AS n FROM documents), z AS (SELECT k1, k2, count(*) AS observed, any_value(x.n * y.n / n.n) AS expected, (count(*) - any_value(x.n * y.n / n.n)) / sqrt(greatest(0.1, any_value(x.n * y.n / n.n * (1 - x.n / n.n) * (1 - y.n / n.n)))) AS z FROM p JOIN c x ON x.kw = k1 JOIN c y ON y.kw = k2, n GROUP BY 1, 2)"
 
 
 def keyword_docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.split(F.split_part("text", F.lit("\n"), F.lit(1)), " ").alias("keywords"))
+    return table(spark, d, "documents").select("doc_id", F.split("text", "[ \n]", -1).alias("keywords"))
 
 
 @query("keyword_pair_atypicality", f"WITH {_KW} SELECT k1, k2, observed, round(expected, 6) AS expected, round(z, 6) AS z FROM z")
@@ -192,16 +161,38 @@ def _(spark, d):
 
 def _re(pattern: str) -> str:
     """The pattern for DuckDB, whose word boundary knows ASCII letters only."""
-    return re.sub(r"\\b(\w+)\\b", r"(?:^|[^\\p{L}\\p{N}_])\1(?:$|[^\\p{L}\\p{N}_])", pattern)
+    return re.sub(r"\\b(\w+|\(\?:.*\))\\b", r"(?:^|[^\\p{L}\\p{N}_])\1(?:$|[^\\p{L}\\p{N}_])", pattern)
+
+
+#: The invented texts hold hardly any class's words: each is given two of these phrases by a rule, which between them stand
+#: for every class of every table.
+PHRASES = (
+    "a pareto front", "genetic algorithm", "particle swarm", "a milp", "deep learning", "ant colony", "stochastic programming", "robust optimization", "socp model", "33-bus feeder", "69-bus feeder",
+    "real-world grid", "brazilian grid", "123-bus feeder", "photovoltaic", "battery storage", "v2g", "reconfiguration", "investment", "saidi", "power loss", "voltage profile", "carbon emission", "resilience",
+    "monte carlo", "worst-case", "fuzzy sets", "wasserstein", "chance constraint", "deterministic", "demand uncertainty", "multistage", "representative days", "snapshot", "gams", "matlab", "cplex", "digsilent",
+    "gurobi", "opendss", "pyomo", "pscad", "linear programming", "second-order cone", "minlp", "simulated annealing", "reinforcement learning",
+)
+#: Concepts whose phrase is given to every twelfth text, and to more of some years for the first three.
+CONCEPTS = ("electric vehicles", "neural networks", "bess", "hosting capacity", "extreme weather", "convex relaxation", "islanding", "adn", "blockchain", "digital twin", "box uncertainty", "soft open points")
+_N = len(PHRASES)
+_LISTED = "[" + ", ".join(f"'{x}'" for x in PHRASES) + "]"
+_PLANTED = f"pl AS (SELECT doc_id, lower(text) || ' ' || ({_LISTED})[1 + CAST(doc_id % {_N} AS INT)] || ' ' || ({_LISTED})[1 + CAST((doc_id * 7 + 3) % {_N} AS INT)] AS text, CAST(2000 + doc_id % 25 AS INT) AS year, n_chars % 50 AS citation_count FROM documents)"
+
+
+def planted(spark, d):
+    docs, i, words = documents(spark, d), F.col("doc_id"), F.array(*(F.lit(x) for x in PHRASES))
+    phrase = lambda n: F.get(words, (n % _N).cast("int"))
+    return docs.withColumn("text", F.concat_ws(" ", F.lower("text"), phrase(i), phrase(i * 7 + 3)))
 
 
 def _fixed(name: str, patterns: dict):
     """A query of one fixed pattern table, and its SQL."""
-    sql = " UNION ALL ".join(f"SELECT '{n}' AS class, count(*) FILTER (regexp_matches(lower(text), '{_re(p)}')) AS articles FROM documents" for n, p in patterns.items())
+    sql = " UNION ALL ".join(f"SELECT '{n}' AS class, count(*) FILTER (regexp_matches(text, '{_re(p)}')) AS articles FROM pl" for n, p in patterns.items())
+    sql = f"WITH {_PLANTED} {sql}"
 
     @query(name, sql)
     def _(spark, d):
-        return op.taxonomy(classes(spark, d), "text", patterns).select("class", "articles")
+        return op.taxonomy(planted(spark, d), "text", patterns).select("class", "articles")
 
 
 for _name, _patterns in (
@@ -211,34 +202,63 @@ for _name, _patterns in (
     _fixed(_name, _patterns)
 
 
-@query("feeder_resources", " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", count(*) FILTER (regexp_matches(lower(text), '{_re(p)}') AND regexp_matches(lower(text), '{_re(q)}')) AS articles FROM documents" for a, p in tx.BENCHMARK_FEEDERS.items() for b, q in tx.FEEDER_RESOURCES.items()))
+@query("feeder_resources", f"WITH {_PLANTED} " + " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", count(*) FILTER (regexp_matches(text, '{_re(p)}') AND regexp_matches(text, '{_re(q)}')) AS articles FROM pl" for a, p in tx.BENCHMARK_FEEDERS.items() for b, q in tx.FEEDER_RESOURCES.items()))
 def _(spark, d):
-    return op.co_occurrence(classes(spark, d), "text", tx.BENCHMARK_FEEDERS, tx.FEEDER_RESOURCES)
+    return op.co_occurrence(planted(spark, d), "text", tx.BENCHMARK_FEEDERS, tx.FEEDER_RESOURCES)
 
 
-@query("uncertainty_resources", " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", count(*) FILTER (regexp_matches(lower(text), '{_re(p)}') AND regexp_matches(lower(text), '{_re(q)}')) AS articles FROM documents" for a, p in tx.UNCERTAINTY_PARADIGMS.items() for b, q in tx.UNCERTAINTY_RESOURCES.items()))
+@query("uncertainty_resources", f"WITH {_PLANTED} " + " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", count(*) FILTER (regexp_matches(text, '{_re(p)}') AND regexp_matches(text, '{_re(q)}')) AS articles FROM pl" for a, p in tx.UNCERTAINTY_PARADIGMS.items() for b, q in tx.UNCERTAINTY_RESOURCES.items()))
 def _(spark, d):
-    return op.co_occurrence(classes(spark, d), "text", tx.UNCERTAINTY_PARADIGMS, tx.UNCERTAINTY_RESOURCES)
+    return op.co_occurrence(planted(spark, d), "text", tx.UNCERTAINTY_PARADIGMS, tx.UNCERTAINTY_RESOURCES)
 
 
-@query("solver_ecosystems", "WITH s(class, ecosystem, articles) AS (" + " UNION ALL ".join(f"SELECT '{n}', '{tx.SOLVER_ECOSYSTEMS[n]}', count(*) FILTER (regexp_matches(lower(text), '{p}')) FROM documents" for n, p in tx.SOLVERS.items()) + ") SELECT ecosystem, CAST(sum(articles) AS BIGINT) AS articles FROM s GROUP BY 1")
+@query("solver_ecosystems", f"WITH {_PLANTED}, s(class, ecosystem, articles) AS (" + " UNION ALL ".join(f"SELECT '{n}', '{tx.SOLVER_ECOSYSTEMS[n]}', count(*) FILTER (regexp_matches(text, '{p}')) FROM pl" for n, p in tx.SOLVERS.items()) + ") SELECT ecosystem, CAST(sum(articles) AS BIGINT) AS articles FROM s GROUP BY 1")
 def _(spark, d):
     of = F.create_map(*(F.lit(x) for pair in tx.SOLVER_ECOSYSTEMS.items() for x in pair))
-    return op.taxonomy(classes(spark, d), "text", tx.SOLVERS).groupBy(of[F.col("class")].alias("ecosystem")).agg(F.sum("articles").alias("articles"))
+    return op.taxonomy(planted(spark, d), "text", tx.SOLVERS).groupBy(of[F.col("class")].alias("ecosystem")).agg(F.sum("articles").alias("articles"))
 
 
-@query("text_chunks")
+_RFIND = "CASE WHEN contains(w, {m}) THEN length(w) - strpos(reverse(w), reverse({m})) - length({m}) + 1 ELSE -1 END"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("text_chunks", f"""WITH RECURSIVE b AS (SELECT doc_id, trim(text, {_BLANK}) AS t FROM documents WHERE trim(text, {_BLANK}) <> ''),
+c AS (SELECT doc_id, 0 AS seq, 0 AS start, NULL::VARCHAR AS piece, FALSE AS done FROM b UNION ALL
+SELECT doc_id, seq + 1, greatest(stop - 200, start + 1), trim(substr(t, start + 1, stop - start), {_BLANK}), stop >= length(t) FROM
+(SELECT doc_id, seq, start, t, CASE WHEN start + 1500 >= length(t) THEN length(t) WHEN p >= 750 THEN start + p + 1 WHEN s >= 750 THEN start + s + 1 ELSE start + 1500 END AS stop FROM
+(SELECT c.doc_id, seq, start, t, {_RFIND.format(m="chr(10) || chr(10)")} AS p, {_RFIND.format(m="'. '")} AS s FROM (SELECT c.*, b.t, substr(b.t, c.start + 1, 1500) AS w FROM c JOIN b USING (doc_id) WHERE NOT done) c)))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS INT) AS seq, piece AS text, CAST(length(piece) AS INT) AS char_len FROM c WHERE piece <> ''""")
 def _(spark, d):
-    """Each window depends on the one before; checked in tests against a plain version."""
     return op.chunked(table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("concept_bursts")
+_BURST = "[" + ", ".join(f"'{x}'" for x in CONCEPTS) + "]"
+_CONCEPTS = f"cd AS (SELECT doc_id, lower(text) || ' ' || ({_BURST})[1 + CAST(doc_id // 25 % 12 AS INT)] || CASE WHEN doc_id % 25 BETWEEN 14 AND 17 THEN ' ' || ({_BURST})[1 + CAST(doc_id // 25 % 3 AS INT)] ELSE '' END AS text, CAST(2000 + doc_id % 25 AS INT) AS year FROM documents)"
+
+
+def concept_years(spark, d):
+    """(class, year, hits, total) of the twelve concepts over texts with their phrases."""
+    docs, i, words = documents(spark, d), F.col("doc_id"), F.array(*(F.lit(x) for x in CONCEPTS))
+    phrase = lambda n: F.get(words, (F.floor(i / 25) % n).cast("int"))
+    text = F.concat_ws(" ", F.lower("text"), phrase(12), F.when((i % 25).between(14, 17), phrase(3)))
+    docs = docs.withColumn("text", text)
+    yearly = op.taxonomy_by_year(docs, "text", tx.FRONTIERS, low=2000).withColumnRenamed("articles", "hits")
+    return yearly.join(docs.groupBy("year").agg(F.count("*").alias("total")), "year")
+
+
+_COST = "-(k * ln(greatest(least({p}, 1 - 1e-12), 1e-12)) + (n - k) * ln(1 - greatest(least({p}, 1 - 1e-12), 1e-12)))"
+
+
+@query("concept_bursts", f"WITH RECURSIVE {_CONCEPTS}, h AS (" + " UNION ALL ".join(f"SELECT '{n}' AS concept, year, count(*) FILTER (regexp_matches(text, '{_re(p)}')) AS k, count(*) AS n FROM cd GROUP BY 2" for n, p in tx.FRONTIERS.items()) + f"""),
+y AS (SELECT *, CAST(row_number() OVER (PARTITION BY concept ORDER BY year) - 1 AS INT) AS i FROM h), p AS (SELECT concept, base, least(greatest(base * 2, base + 1e-9), 1 - 1e-9) AS high, ln(greatest(trials, 2)) AS up FROM (SELECT concept, sum(k) / sum(n) AS base, sum(n) AS trials FROM y GROUP BY 1 HAVING sum(k) >= 6)),
+z AS (SELECT y.*, up, {_COST.format(p="base")} AS low_cost, {_COST.format(p="high")} AS high_cost FROM y JOIN p USING (concept)),
+f AS (SELECT concept, i, low_cost AS c0, up + high_cost AS c1, 0 AS b0, 0 AS b1 FROM z WHERE i = 0 UNION ALL
+SELECT z.concept, z.i, least(c0, c1) + low_cost, least(c0 + up, c1) + high_cost, CASE WHEN c0 <= c1 THEN 0 ELSE 1 END, CASE WHEN c0 + up <= c1 THEN 0 ELSE 1 END FROM f JOIN z ON z.concept = f.concept AND z.i = f.i + 1),
+s AS (SELECT concept, i, CASE WHEN c0 <= c1 THEN 0 ELSE 1 END AS s FROM f WHERE i = (SELECT max(i) FROM y) UNION ALL SELECT s.concept, s.i - 1, CASE WHEN s.s = 0 THEN b0 ELSE b1 END FROM s JOIN f ON f.concept = s.concept AND f.i = s.i WHERE s.i > 0),
+r AS (SELECT z.*, i - row_number() OVER (PARTITION BY concept ORDER BY i) AS run FROM s JOIN z USING (concept, i) WHERE s = 1)
+SELECT concept, CAST(min(year) AS INT) AS "first", CAST(arg_min(year, (-k, year)) AS INT) AS peak, CAST(max(year) AS INT) AS "last", CAST(count(*) AS INT) AS years, round(greatest(sum(low_cost - high_cost), 0), 2) AS intensity, max(i) = (SELECT max(i) FROM y) AS active, CAST(sum(k) AS BIGINT) AS articles FROM r GROUP BY concept, run""")
 def _(spark, d):
-    """A cheapest path over years; checked in tests against all paths."""
-    yearly = op.taxonomy_by_year(classes(spark, d), "text", CLASSES, low=2000).withColumnRenamed("articles", "hits")
-    totals = documents(spark, d).groupBy("year").agg(F.count("*").alias("total"))
-    return op.bursts(yearly.join(totals, "year"))
+    return op.bursts(concept_years(spark, d))
 
 
 @query("literal_search", "SELECT doc_id, md5(text) AS digest FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 20")

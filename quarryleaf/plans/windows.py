@@ -55,10 +55,11 @@ def _(spark, d):
     return op.gini(_output(spark, d), "v").select(F.round("gini", 9).alias("gini"))
 
 
-@query("bradford_zones")
+@query("bradford_zones", """WITH c AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem GROUP BY 1), r AS (SELECT n, sum(n) OVER w - n AS before, row_number() OVER w AS place, sum(n) OVER () AS whole FROM c WINDOW w AS (ORDER BY n DESC, CAST(k AS VARCHAR) ROWS UNBOUNDED PRECEDING)),
+z AS (SELECT CAST(least(1 + floor(before * 3 / whole), place, 3) AS INT) AS zone, n FROM r), s AS (SELECT zone, count(*) AS venues, CAST(sum(n) AS BIGINT) AS articles FROM z GROUP BY 1) SELECT zone, venues, articles, round(venues / lag(venues) OVER (ORDER BY zone), 6) AS multiplier FROM s""")
 def _(spark, d):
     rows = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
-    return op.bradford_zones(rows, "l_partkey", "n")
+    return op.bradford_zones(rows, "l_partkey", "n").withColumn("multiplier", F.round("multiplier", 6))
 
 
 @query("theme_share_smoothed", f"""WITH {ARTICLES}, g AS (SELECT * FROM (SELECT DISTINCT year FROM articles), (SELECT DISTINCT category FROM articles)),

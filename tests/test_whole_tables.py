@@ -22,10 +22,10 @@ def light_edges(spark, monkeypatch):
 def test_graphs_of_light_edges(spark, light_edges):
     ranks = {r.node: r.rank for r in QUERIES["graph_pagerank"](spark, "").collect()}
     assert set(ranks) == {1, 2, 3, 4} and abs(sum(ranks.values()) - 1) < 1e-6 and ranks[1] > ranks[3]
-    assert {(r.node, r.degree, r.strength) for r in QUERIES["graph_degrees_all"](spark, "").collect()} == {(1, 3, 4), (2, 3, 4), (3, 3, 3), (4, 3, 3)}
-    assert QUERIES["graph_density_all"](spark, "").first().edges == 6
-    assert {tuple(r) for r in QUERIES["graph_triangles_all"](spark, "").collect()} == {(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)}
-    assert {r.clustering for r in QUERIES["graph_clustering_all"](spark, "").collect()} == {1.0}
+    assert {(r.node, r.degree, r.strength) for r in QUERIES["graph_degrees"](spark, "").collect()} == {(1, 3, 4), (2, 3, 4), (3, 3, 3), (4, 3, 3)}
+    assert QUERIES["graph_density"](spark, "").first().edges == 6
+    assert {tuple(r) for r in QUERIES["graph_triangles"](spark, "").collect()} == {(1, 2, 3), (1, 2, 4), (1, 3, 4), (2, 3, 4)}
+    assert {r.clustering for r in QUERIES["graph_clustering"](spark, "").collect()} == {1.0}
 
 
 def test_best_matches_against_every_name(spark):
@@ -54,7 +54,7 @@ def test_all_queries_of_searches(spark):
     v, b = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("embeddings", "benchmark"))
     ids, items = ({r[0] for r in df.select(c).where(f"{c} is not null").collect()} for df, c in ((v, "vec_id"), (b, "item_id")))
     due = {i for i in ids if i % 50 == 0}
-    assert {r.query_id for r in QUERIES["dense_topk_all"](spark, SF).collect()} == due
+    assert {r.query_id for r in QUERIES["dense_topk"](spark, SF).collect()} == due
     got = QUERIES["hybrid_topk"](spark, SF).collect()
     assert {r.query_id for r in got} == due | items and {r.query_id for r in got if r.rank_a} == due | items & ids
 
@@ -79,7 +79,7 @@ def test_adjusted_p_values_of_all_rows(spark, tmp_path):
     for rank, (x, i) in reversed(list(enumerate(p, 1))):
         least = min(least, x * len(p) / rank)
         want[i] = least
-    assert {r.k: r.p_adjusted for r in QUERIES["adjusted_p_values_all"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-8)
+    assert {r.k: r.p_adjusted for r in QUERIES["adjusted_p_values"](spark, str(tmp_path)).collect()} == pytest.approx(want, abs=1e-8)
 
 
 def test_repetitions_are_the_defaults(spark, light_edges, monkeypatch):
