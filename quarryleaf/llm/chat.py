@@ -75,7 +75,8 @@ def _known_parents(here: DataFrame) -> DataFrame:
 
 
 def chosen_paths(tree: DataFrame, keep: int | None = 1) -> DataFrame:
-    """(conv, leaf, node, up) of the best paths of each conversation: by mean score, then length, then leaf."""
+    """(conv, leaf, node, up, rank) of the best paths of each conversation: by mean score (null as 0), then length, then
+    leaf. Nodes are unique within a conversation; null conversations are one."""
     way = paths(tree)
     scored = way.alias("a").join(tree.select("conv", "node", "score").alias("b"), _same("a.conv", "b.conv") & (F.col("a.node") == F.col("b.node"))).select("a.conv", "a.leaf", "a.node", "a.up", "b.score")
     ranks = scored.groupBy("conv", "leaf").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("score"), F.count("*").alias("n"))
@@ -88,10 +89,11 @@ def format_paths(tree: DataFrame, keep: int | None = 1, assistant: str = "assist
     """One row per chosen path: conv, leaf, rank, formatted, loss (array of start and length, in code points).
 
     A turn is <|im_start|>, role, newline, text, <|im_end|>, newline, with role and text escaped; the loss mask covers
-    the texts of the assistant.
+    the texts of the assistant. Null roles and texts count as empty, an empty tree gives no row. A conversation is one row
+    and its chosen path is put together by one task: that is the output's own shape.
     """
     way = chosen_paths(tree, keep)
-    words = tree.select("conv", "node", F.concat(F.lit(START), escaped(F.col("role"), True), F.lit("\n")).alias("head"), escaped(F.col("text")).alias("body"), (F.col("role") == assistant).alias("learn"))
+    words = tree.select("conv", "node", F.concat(F.lit(START), escaped(F.coalesce("role", F.lit("")), True), F.lit("\n")).alias("head"), escaped(F.coalesce("text", F.lit(""))).alias("body"), F.coalesce(F.col("role") == assistant, F.lit(False)).alias("learn"))
     rows = way.alias("a").join(words.alias("b"), _same("a.conv", "b.conv") & (F.col("a.node") == F.col("b.node")))
     turns = rows.groupBy("a.conv", "a.leaf", "a.rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("a.up")).alias("at"), "b.head", "b.body", "b.learn"))).alias("turns"))
     tail = F.lit(END + "\n")
@@ -104,7 +106,7 @@ def format_paths(tree: DataFrame, keep: int | None = 1, assistant: str = "assist
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """The digests of formatted conversations, from the formatted text and its loss mask alone."""
+    """The digests of formatted conversations, from the formatted text and its loss mask alone; no row gives no row."""
     parts = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda p: p.contains(END))
     turn = F.transform(parts, lambda p: F.struct(
         unescaped(F.substring_index(p, "\n", 1)).alias("role"),

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import batches, kept_rows, texts
+from quarryleaf.llm.common import batches, kept_rows, texts, written
 
 BITS = 18
-#: Labelled rows that a model is fitted on, at most; those with the smallest hash of their id.
-FIT_ROWS = 4096
+#: Labelled rows that a model is fitted on, at most; those with the smallest hash of their id, and of these no more than
+#: have so many features together (16 bytes each on the driver).
+FIT_ROWS, FIT_FEATURES = 4096, 1 << 23
 _SCALE = 20.0
 _SHAPE = np.arange(256, dtype=np.uint8)
 _SHAPE[65:91] = 65
@@ -77,11 +78,12 @@ def labelled(labels: DataFrame, label_col: str, id_col: str = "doc_id") -> DataF
     return known.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1).groupBy("doc_id").agg((F.avg("label") >= 0.5).cast("int").alias("label"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES, epochs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """Weights of a model of the label, fitted on at most fit_rows labelled documents of the open folds.
 
     Executors turn the chosen texts (whole) into sparse counts; the driver runs the updates, in the order of the ids'
-    hashes. Without a labelled document the weights are 0 and every score 0.5.
+    hashes, as far as fit_features last (one document at least). Of a repeated id the text with the smallest hash is
+    learnt. Null texts count as empty; without a labelled document the weights are 0 and every score 0.5.
     """
     chosen = labelled(labels, label_col).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
@@ -93,11 +95,15 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", fit_ro
                 ids, n = np.unique(feature[i:j], return_counts=True)
                 at.append(ids)
                 x.append((n * (_SCALE / max(1, j - i))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "label", "at", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32())), pa.array([len(a) for a in at], pa.int32())], ["doc_id", "label", "at", "x", "n"])
 
     # at most fit_rows ids of 16 bytes: a proven bound for the broadcast
-    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    seen = rows.mapInArrow(counts, "doc_id long, label int, at array<int>, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    made = written(rows.mapInArrow(counts, "doc_id long, label int, at array<int>, x array<float>, n int"))
+    order = [F.xxhash64("doc_id"), "doc_id"]
+    sizes = made.select("doc_id", "n").orderBy(*order).collect()  # fit_rows rows
+    some = max(1, int(np.searchsorted(np.cumsum([r.n for r in sizes] or [0]), fit_features, side="right")))
+    seen = made.orderBy(*order).limit(some).toArrow()
     model = FollowTheLeader()
     at, x, y = seen.column("at").combine_chunks(), seen.column("x").combine_chunks(), seen.column("label").to_pylist()
     for _ in range(epochs):

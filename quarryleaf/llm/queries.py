@@ -95,7 +95,7 @@ FROM c GROUP BY conv_id
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
-    return out.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1)
+    return out.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterable
 
 import pandas as pd
@@ -31,6 +32,29 @@ def key_of(host: str) -> str:
     return ".".join(reversed(host.split("."))) + "."
 
 
+class PathRules:
+    """The rules of one host, sorted by path: a path is the interval of those that begin with it. Each knows the rule of
+    the innermost interval around it, so that the rules that fit a path are a chain from its place in the order."""
+
+    def __init__(self, rules: list[tuple[str, str, str]]):
+        self.rules = sorted(rules)
+        self.paths = [r[0] for r in self.rules]
+        self.around: list[int] = []
+        stack: list[int] = []
+        for i, path in enumerate(self.paths):
+            while stack and not path.startswith(self.paths[stack[-1]]):
+                stack.pop()
+            self.around.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def longest(self, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest rule that the path begins with."""
+        i = bisect_right(self.paths, path) - 1
+        while i >= 0 and not path.startswith(self.paths[i]):
+            i = self.around[i]
+        return self.rules[i][1:] if i >= 0 else None
+
+
 class RuleSweep:
     """A sorted block of rules. Each host's interval holds its path rules; nested intervals are kept on a stack."""
 
@@ -40,7 +64,7 @@ class RuleSweep:
             host, slash, path = rule.partition("/")
             hosts.setdefault(key_of(host), []).append((slash + path, rule, verdict))
         self.low = sorted(hosts)
-        self.rules = [sorted(hosts[k], key=lambda r: (-len(r[1]), r[1])) for k in self.low]
+        self.rules = [PathRules(hosts[k]) for k in self.low]
 
     def sweep(self, keys: list[str], paths: list[str]) -> list[tuple[str | None, str | None]]:
         """Longest fitting rule and its verdict for each (key, path); one pass over both sorted sides."""
@@ -59,12 +83,9 @@ class RuleSweep:
                 stack.pop()
             best: tuple[str, str] | None = None
             for host in stack:
-                for path, rule, verdict in self.rules[host]:
-                    if best and len(rule) <= len(best[0]):
-                        break
-                    if paths[i].startswith(path):
-                        best = (rule, verdict)
-                        break
+                found = self.rules[host].longest(paths[i])
+                if found and (best is None or len(found[0]) > len(best[0])):
+                    best = found
             if best:
                 out[i] = best
         return out

@@ -144,6 +144,26 @@ def test_url_rules_against_plain(spark):
     assert got == {i: plain_verdict(u, rules, "allow") for i, u in enumerate(urls)}
 
 
+def test_longest_path_rule():
+    rng = random.Random(9)
+    for _ in range(200):
+        rules = {"".join(rng.choice("/ab") for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(0, 12))}
+        table = url_filter.PathRules([(r, f"h{r}", "block") for r in rules])
+        for _ in range(20):
+            path = "".join(rng.choice("/abc") for _ in range(rng.randint(0, 7)))
+            best = max((r for r in rules if path.startswith(r)), key=len, default=None)
+            assert table.longest(path) == (None if best is None else (f"h{best}", "block"))
+
+
+def test_url_odd_rows(spark):
+    """Repeated rows, very long and null urls, clashing columns."""
+    long = "http://" + "a." * 20_000 + "com/" + "p/" * 50_000
+    rows = [(1, long, 1), (1, long, 1), (None, "http://x.com/", 2), (2, None, 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, verdict int")
+    got = sorted((r.page_id or 0, r.rule or "", r.verdict) for r in url_filter.judge(pages, spark.createDataFrame([("com/p/", "block")], "rule string, verdict string")).collect())
+    assert got == [(0, "", "allow"), (1, "com/p/", "block"), (1, "com/p/", "block"), (2, "", "allow")]
+
+
 def test_url_rules_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BLOCK_RULES", 2)
     rules = [("com", "block"), ("a.com", "allow"), ("a.com/p", "block"), ("b.a.com/p", "allow"), ("net", "block")]
@@ -187,6 +207,15 @@ def test_chat_tree_paths(spark):
     assert [best[0].formatted[s.start : s.start + s.length] for s in best[0].loss] == ["a"]
 
 
+def test_chat_odd_tables(spark):
+    """Null ids, parents and texts, repeated nodes, clashing columns, an empty tree."""
+    rows = [(1, 1, None, "user", None, 1.0, 1), (1, 2, 1, "assistant", "a", None, 2), (1, 2, 1, "assistant", "a", None, 2), (None, 1, None, None, "x", 1.0, 3), (2, None, None, "user", "no node", 1.0, 4)]
+    tree = spark.createDataFrame(rows, "conv long, node long, parent long, role string, text string, score double, up int")
+    assert chat.format_paths(tree.limit(0)).count() == 0 and chat.paths(tree.limit(0)).count() == 0
+    got = {(r.conv, r.formatted) for r in chat.format_paths(tree.where("node is not null").dropDuplicates()).collect()}
+    assert (1, "<|im_start|>user\n<|im_end|>\n<|im_start|>assistant\na<|im_end|>\n") in got
+
+
 def test_chat_plans_are_native(spark):
     rows = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     plan = chat.read_back(chat.format_paths(chat.chained(rows)))._jdf.queryExecution().toString()

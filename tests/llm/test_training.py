@@ -232,6 +232,68 @@ def test_quality_ignores_held_out_labels(spark, graded):
     assert np.array_equal(quality.train(docs, labels, fit_rows=200), quality.train(docs, flipped, fit_rows=200))
 
 
+def plain_ftrl(rows, epochs, m):
+    """Weights by feature, one coordinate at a time, over dictionaries; None is the intercept."""
+    import math
+
+    z, n = {}, {}
+
+    def weight(f):
+        a = z.get(f, 0.0)
+        return 0.0 if abs(a) <= m.l1 else -(a - math.copysign(m.l1, a)) / ((m.beta + math.sqrt(n.get(f, 0.0))) / m.alpha + m.l2)
+
+    for _ in range(epochs):
+        for x, y in rows:
+            x = {**x, None: 1.0}
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v
+                grown = n.get(f, 0.0) + g * g
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(grown) - math.sqrt(n.get(f, 0.0))) / m.alpha * w[f]
+                n[f] = grown
+    return {f: weight(f) for f in z}
+
+
+def test_quality_against_plain(spark, graded):
+    """Weights and scores of a small fit, against plain updates and plain sums over n-grams."""
+    import math
+    from collections import Counter
+
+    docs, labels, truth = graded
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    order = [r.doc_id for r in quality.labelled(labels, "quality").selectExpr("doc_id", "xxhash64(doc_id) as h").orderBy("h", "doc_id").limit(40).collect()]
+
+    def counts(text):
+        feature = quality.ngrams(pa.array([text]))[0].tolist()
+        return {f: float(np.float32(c * (quality._SCALE / max(1, len(feature))))) for f, c in Counter(feature).items()}
+
+    want = plain_ftrl([(counts(texts[d]), truth[d]) for d in order], 2, quality.FollowTheLeader())
+    w = quality.train(docs, labels, fit_rows=40, epochs=2)
+    assert all(abs(w[f if f is not None else -1] - v) < 1e-4 for f, v in want.items()) and np.count_nonzero(w) <= len(want)
+    for r in quality.score(docs.limit(60), w).collect():
+        s = want[None] + sum(want.get(f, 0.0) * v for f, v in counts(texts[r.doc_id]).items())
+        assert abs(r.score - 1 / (1 + math.exp(-s))) < 1e-3
+
+
+def test_ngrams_against_plain():
+    """Words, shapes, pairs and repeats: equal n-grams and no others have equal features."""
+    a, off = quality.ngrams(pa.array(["Ab cd1 cd1", "", "ab CD"]))
+    assert off.tolist() == [0, 15, 15, 25]
+    one, two = a[:15].reshape(3, 5), a[15:].reshape(2, 5)
+    assert one[0, 0] == two[0, 0] and one[1, 0] == one[2, 0] != one[0, 0]  # the word, whatever its case
+    assert one[0, 1] != two[0, 1] and one[1, 1] == one[2, 1]  # its shape: Ab is not ab
+    assert one[1, 2] != one[2, 2] and one[2, 4] != one[1, 4] and one[0, 2] == two[0, 2]  # pairs; cd1 repeats
+
+
+def test_quality_of_repeated_ids_and_bounds(spark, graded):
+    docs, labels, _ = graded
+    more = docs.unionByName(docs.selectExpr("doc_id", "concat(text, ' again and more') as text")).unionByName(docs)
+    assert len(quality.train(more, labels, fit_rows=30)) == (1 << quality.BITS) + 1
+    few = quality.train(docs, labels, fit_rows=200, fit_features=500)
+    assert 0 < np.count_nonzero(few) < np.count_nonzero(quality.train(docs, labels, fit_rows=200))
+
+
 def test_quality_odd_rows(spark, odd_docs, no_docs, graded):
     docs, labels, _ = graded
     w = quality.train(docs, labels, fit_rows=200)
@@ -272,3 +334,32 @@ def test_pipeline(spark, tmp_path):
     assert kept["pack"] == kept["decontaminate"]
     again = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in again.select("doc_id").collect()} == kept["pack"]
+
+
+def test_pipeline_odd_tables(spark, tmp_path, odd_docs):
+    """Repeated and null ids, clashing columns, and empty tables of documents, labels and benchmark."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = [(5, sentences(rng, 40), 1), (5, sentences(rng, 40), 2), (None, sentences(rng, 40), 3), (None, sentences(rng, 40), 4), (6, None, 5), (6, "", 6)]
+    rows += [rows[0], (7, rows[0][1] + " ", 7), (8, " ".join([*rows[1][1].split()[:39], "other"]), 8)]
+    docs = spark.createDataFrame([(*r, r[2], r[2]) for r in rows], "doc_id long, text string, n_chars int, _id int, key int")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for k, (d, empty) in enumerate(((docs, False), (docs.limit(0), True))):
+        folder = f"{tmp_path}/{k}"
+        d.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, folder)
+            assert now.columns == docs.columns, name
+            now.write.parquet(f"{folder}/{name}")
+            now = spark.read.parquet(f"{folder}/{name}")
+        texts = sorted((r.text or "").strip() for r in now.collect())
+        # without labels nothing is rejected; of each text, and of near copies, one row stays, whatever its id
+        kept = {rows[0][1], rows[2][1], rows[3][1], ""}
+        assert empty and not texts or kept <= set(texts) and len(texts) == 5
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert len({(r.doc_id, r.doc_tokens) for r in out}) == (0 if empty else 5)
