@@ -226,9 +226,9 @@ SIGNATURES: dict[str, tuple[tuple[str, int, float, str], ...]] = {
 }
 #: A text without any of these cannot match a rule or a base phrase: each keyword's rules need one of them.
 GATE = ("licen", "gpl", "commons", "domain", "warrant", "granted", "redistribut", "gnu", "apache", "copyleft", "reserved", "spdx", "wtfpl", "eupl", "cddl", "cecill", "lppl", "odbl", "gfdl", "cc0", "bsd", "mozilla", "mulan",
-        "substantial", "evil", "advertising", "endorse", "regents", "openssl", "misrepresent", "plainly", "altered", "perl", "ruby", "consortium", "package", "beer", "waived", "proprietary", "confidential", "unauthori")
+        "substantial", "advertising", "endorse", "regents", "openssl", "misrepresent", "plainly", "altered", "perl", "ruby", "consortium", "package", "waived", "proprietary", "confidential", "unauthori")
 #: Words that stand one after the other, where one alone says too little: a quick test and a pattern for each.
-_PAIRS = (("cc", "cc{gap}by"), ("mpl", "mpl{gap}(?:v|was|[0-9])"), ("asl", "asl{gap}2"), ("want", r"the{gap}f\S+{gap}you{gap}want"))
+_PAIRS = (("cc", "cc{gap}by"), ("mpl", "mpl{gap}(?:v|was|[0-9])"), ("asl", "asl{gap}2"), ("want", r"the{gap}f\S+{gap}you{gap}want"), ("beer", "beer{gap}ware|me{gap}a{gap}beer"), ("evil", "not{gap}evil"))
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # every separator by itself: such a class is one table lookup a character
 _SEPARATORS = "".join(f"\\x{c:02X}" for c in range(128) if not chr(c).isalnum())
