@@ -125,11 +125,14 @@ def heavy_left_join(left: DataFrame, right: DataFrame, keys: list[str], rows: st
     """left LEFT JOIN right on keys (unique in right, none null), safe for heavy keys.
 
     right[rows] is how many left rows have the key. Keys above HEAVY_SHARE of total are at most 1 / HEAVY_SHARE in
-    number and are joined by broadcast; their rows then spread over all tasks of the shuffled join with the others.
+    number and are joined by broadcast; their rows then spread over all tasks of the shuffled join with the others. The
+    broadcast side has a row that matches nothing, so that the plan is the same with and without heavy keys.
     """
     more = [c for c in right.columns if c not in keys]
     heavy = F.col(rows) > F.lit(max(1.0, total * HEAVY_SHARE))
     hot = right.where(heavy).select(*keys, F.struct(*more).alias("_hot"))
+    kinds = {f.name: f.dataType for f in hot.schema.fields}
+    hot = hot.unionByName(left.sparkSession.range(1).select(*(F.lit(None).cast(t).alias(n) for n, t in kinds.items())))
     rest = right.where(~heavy).select(*keys, F.lit(0).alias("_salt"), F.struct(*more).alias("_rest"))
     spread = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*left.columns), F.lit(4096)).cast("int"))
     return (
@@ -168,6 +171,8 @@ class Rows:
         self.key = F.when(self.shared, F.xxhash64(self.id, self.text)).otherwise(self.id) if self.any else self.id
         #: key, doc_id and text: other columns cannot clash. A null text counts as empty.
         self.source = docs.select(self.key.alias("key"), self.id.alias("doc_id"), self.text.alias("text"))
+        #: The same with what may share its key instead of the id.
+        self.marked = docs.select(self.key.alias("key"), self.text.alias("text"), self.shared.alias("shared"))
 
     def without(self, dropped: DataFrame) -> DataFrame:
         """The rows, all columns, whose key is not in the column `key` of dropped; of rows that share a key one stays.
@@ -192,7 +197,9 @@ class Rows:
         is_open = F.when(self.shared, F.lit(1)).otherwise(state(bit_of(F.coalesce(self.id, F.lit(0)), size))) if self.any else state(bit_of(self.id, size))
         sure = docs.withColumn(open_, is_open).where(F.col(open_) == 0).select(*columns)
         rest = docs.withColumn(open_, is_open).withColumn(key, self.key).where(F.col(open_) == 1)
-        kept = rest.join(ids.select(F.col("key").alias(key)), key, "left_anti").dropDuplicates([key])
+        # rows alike are combined before their key is joined, however many they are
+        once = rest.dropDuplicates([key]) if self.any else rest
+        kept = once.join(ids.select(F.col("key").alias(key)), key, "left_anti")
         return sure.unionByName(kept.select(*columns))
 
 

@@ -209,8 +209,9 @@ def open_group(queries: pa.StructArray, asked: np.ndarray, group: pa.StructArray
 
 
 class Firsts:
-    """The rows that are no copy of one with a smaller key, read anew from the source each time they are worked on: one
-    Python step does the choosing and the work. Few rows that the bitmaps leave open are set apart by an exact join."""
+    """The rows that are no copy of one with a smaller key, each key once, read anew from the source each time they are
+    worked on: one Python step does the choosing and the work. Rows that the bitmaps leave open and rows that may share
+    their key are set apart in a table, by an exact join."""
 
     def __init__(self, rows: Rows, known: DataFrame):
         self.spark = rows.spark
@@ -226,34 +227,33 @@ class Firsts:
 
         maybe = known.where("class_key = key").select("key", F.xxhash64("key").alias("h")).mapInArrow(near, "key long, h long")
         others = self.spark.sparkContext.broadcast(bitmap(maybe.select(at), size))
-        self.source = rows.source.select("key", "text", F.xxhash64("key").alias("h"))
-        self.sure = lambda h: ~in_bits(bits.value, h & mask)
-        open_ = self._step(self.source, lambda h: in_bits(bits.value, h & mask) & in_bits(others.value, h & mask), lambda it: it, "key long, text string, h long")
-        self.open = written(open_.join(ids, "key", "left_anti"))
-        self.once = rows.any
+        self.source = rows.marked.select("key", "text", F.xxhash64("key").alias("h"), "shared")
+        self.sure = lambda h, shared: ~shared & ~in_bits(bits.value, h & mask)
+        schema = "key long, text string, h long, shared boolean"
+        open_ = self._step(self.source, lambda h, shared: shared | (in_bits(bits.value, h & mask) & in_bits(others.value, h & mask)), lambda it: it, schema)
+        self.open = written((open_.dropDuplicates(["key"]) if rows.any else open_).join(ids, "key", "left_anti"))
 
     @staticmethod
     def _step(df: DataFrame, keep, work, schema: str) -> DataFrame:
         def run(it):
-            for_work = (b.filter(pa.array(keep(b.column("h").to_numpy()))) for b in it)
+            for_work = (b.filter(pa.array(keep(b.column("h").to_numpy(), b.column("shared").to_numpy(zero_copy_only=False)))) for b in it)
             yield from work(for_work)
 
         return df.mapInArrow(run, schema)
 
     def work(self, run, schema: str, among: DataFrame | None = None, col: str = "node") -> DataFrame:
-        """run (an Arrow function of key and text) over all, or over those whose keys are among these and a few more.
-        Rows with the same id and text are all worked on."""
+        """run (an Arrow function of key and text) over all, or over those whose keys are among these and a few more."""
         sure = self.sure
         if among is None:
             first = self._step(self.source, sure, run, schema)
-            return first.unionByName(self._step(self.open, lambda h: np.ones(len(h), dtype=bool), run, schema))
+            return first.unionByName(self._step(self.open, lambda h, _: np.ones(len(h), dtype=bool), run, schema))
         ids = written(among.select(F.col(col).alias("key")).distinct())
         size = bits_for(ids.count())
         mask = (1 << size) - 1
         asked = self.spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("key").bitwiseAND(F.lit(mask)).alias("pos")), size))
         discard(ids)
-        first = self._step(self.source, lambda h: sure(h) & in_bits(asked.value, h & mask), run, schema)
-        return first.unionByName(self._step(self.open, lambda h: in_bits(asked.value, h & mask), run, schema))
+        first = self._step(self.source, lambda h, shared: sure(h, shared) & in_bits(asked.value, h & mask), run, schema)
+        return first.unionByName(self._step(self.open, lambda h, _: in_bits(asked.value, h & mask), run, schema))
 
 
 def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
@@ -287,9 +287,6 @@ def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
             short, s_off = textbuf.distinct_sets(tokens & np.uint64(0xFFFF), off)
             yield pa.RecordBatch.from_arrays([b.column("key"), _long(np.diff(off)), rows_of(short.astype(np.uint16).view(np.int16), s_off, pa.int16())], ["node", "n", "marks"])
 
-    def once(df: DataFrame) -> DataFrame:
-        return df.dropDuplicates(["node"]) if firsts.once else df
-
     # cells that two documents have: counted by signature alone; only their rows are told from the documents
     shared = written(firsts.work(cells(lambda sig: None), "sig long, node long, kind short").groupBy("sig").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1"))
     found = shared.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
@@ -299,14 +296,14 @@ def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
     cell = firsts.work(cells(lambda sig: in_bits(again.value, (sig & mask).astype(np.int64))), "sig long, node long, kind short")
     members = written(heavy_left_join(cell, shared, ["sig"], "rows", found["rows"]).where("rows is not null").select(
         "sig", "node", "rows", "head", (F.col("kind") % 2).alias("side"), F.expr("kind div 2").alias("least")))
-    small = written(once(firsts.work(marks, "node long, n long, marks array<short>", members)))
+    small = written(firsts.work(marks, "node long, n long, marks array<short>", members))
     num, den = F.lit(levels.num), F.lit(levels.den)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(q, x) pairs that are linked, by their whole sets."""
         pairs = written(pairs)
         ids = pairs.select(F.col("q").alias("node")).unionByName(pairs.select(F.col("x").alias("node")))
-        both = written(once(firsts.work(sets, "node long, n long, tokens array<long>", ids)))
+        both = written(firsts.work(sets, "node long, n long, tokens array<long>", ids))
         left = pairs.join(both.select(F.col("node").alias("x"), F.col("tokens").alias("xt"), F.col("n").alias("xn")), "x")
         common = F.size(F.array_intersect("tokens", "xt"))
         return written(left.join(both.withColumnRenamed("node", "q"), "q").where(common * den >= num * (F.col("n") + F.col("xn") - common)).select("q", "x"))
