@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryleaf.functions.names import author_key
+from quarryleaf.operators.running import running_totals
 
 
 def bylines(df: DataFrame, authors: str = "authors") -> DataFrame:
@@ -47,19 +48,33 @@ def volume_and_impact(rows: DataFrame, cites: str, author: str = "author") -> Da
 
 def correlations(df: DataFrame, x: str, y: str, least: int = 3) -> DataFrame:
     """Pearson and Spearman of two columns over complete rows, null for fewer than `least`. Ranks are given to distinct
-    values from their counts, so the global windows hold distinct values only."""
+    values from their counts, by ranges of the values."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    everything = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
 
     def ranks(c: str) -> DataFrame:
-        counts = rows.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        return counts.select(F.col("v").alias(c), (F.sum("n").over(everything) - (F.col("n") - 1) / 2).alias(f"r{c}"))
+        counts = running_totals(rows.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")), [F.asc("v")], {"upto": F.col("n")})
+        return counts.select(F.col("v").alias(c), (F.col("upto") - (F.col("n") - 1) / 2).alias(f"r{c}"))
 
     both = rows.join(ranks("x"), "x").join(ranks("y"), "y")
     got = both.agg(F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"), F.count("*").alias("n"))
     return got.select("n", *(F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman")))
 
 
+def correlations_by(df: DataFrame, by: str, x: str, y: str, least: int = 3) -> DataFrame:
+    """(by, n, pearson, spearman) of each group's complete rows, null for fewer than `least`; ranks are given to distinct
+    values within a group."""
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def ranks(c: str) -> DataFrame:
+        counts = rows.groupBy(by, c).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(by).orderBy(c))
+        return counts.select(by, c, (upto - (F.col("n") - 1) / 2).alias(f"r{c}"))
+
+    both = rows.join(ranks("x"), [by, "x"]).join(ranks("y"), [by, "y"])
+    got = both.groupBy(by).agg(F.count("*").alias("n"), F.corr("x", "y").alias("pearson"), F.corr("rx", "ry").alias("spearman"))
+    return got.select(by, "n", *(F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("pearson", "spearman")))
+
+
 def impact_indices(rows: DataFrame, cites: str, least: int = 2, author: str = "author") -> DataFrame:
     """papers, total, mean, h, g, e, i10 of each author; unknown citations count as 0.
 

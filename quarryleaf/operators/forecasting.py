@@ -4,11 +4,13 @@ conformal bands, and Bass diffusion."""
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 MODELS = ("baseline", "linear", "log_linear")
 
@@ -98,21 +100,51 @@ def forecasts(series: DataFrame, by: str, year: str, value: str, train_start: in
         run, f"{by} {kind}, year int, model string, value double, low double, high double, cv_mae double, skill double, mase double, coverage double")
 
 
+def keyword_forecasts(keyword_years: DataFrame, least: int, train_start: int, train_end: int, ahead: list[int], test_years: list[int]) -> DataFrame:
+    """(keyword, observed, forecast, variation, model) of keywords with `least` mentions: the last complete year's count
+    (else the first known), the last forecast year's value, and their difference. keyword_years: value, year, a row each
+    mention."""
+    counts = keyword_years.where("value is not null and year is not null").groupBy("value", "year").agg(F.count("*").alias("n"))
+    eligible = counts.groupBy(F.col("value").alias("keyword")).agg(F.sum("n").alias("_n"), F.coalesce(F.max(F.when(F.col("year") == train_end, F.col("n"))), F.min_by("n", "year")).cast("double").alias("observed")).where(F.col("_n") >= least)
+    series = counts.withColumnRenamed("value", "keyword").join(eligible.select("keyword"), "keyword", "left_semi")
+    last = forecasts(series, "keyword", "year", "n", train_start, train_end, ahead, test_years).where(F.col("year") == max(ahead))
+    both = last.select("keyword", F.col("value").alias("forecast"), "model")
+    return eligible.drop("_n").join(both, "keyword").select("keyword", "observed", "forecast", (F.col("forecast") - F.col("observed")).alias("variation"), "model")
+
+
 def cumulative_bass(t: np.ndarray, p: float, q: float, m: float) -> np.ndarray:
     e = np.exp(-(p + q) * t)
     return m * (1 - e) / (1 + q / p * e)
 
 
-def bass_by_differences(years: np.ndarray, counts: np.ndarray) -> dict | None:
-    """p, q, m from the least squares of yearly adoptions on cumulative ones and their square."""
-    total = np.cumsum(counts)
-    x = np.column_stack([np.ones(len(total) - 1), total[:-1], total[:-1] ** 2])
-    c, b, a = np.linalg.lstsq(x, counts[1:].astype(float), rcond=None)[0]
-    if a >= 0 or b * b - 4 * a * c <= 0:
+def bass_sums(rows: DataFrame, by: str, year: str, value: str) -> DataFrame:
+    """(by, s0, ..., s4, t0, t1, t2): of each group, over its years after the first, the sums of the powers of what was
+    adopted before, and of these times the year's adoptions."""
+    before = Window.partitionBy(by).orderBy(year).rowsBetween(Window.unboundedPreceding, -1)
+    steps = rows.select(by, F.sum(value).over(before).cast("double").alias("x"), F.col(value).cast("double").alias("y")).where("x is not null")
+    power = lambda k: F.pow("x", F.lit(float(k)))
+    return steps.groupBy(by).agg(*(F.sum(power(k)).alias(f"s{k}") for k in range(5)), *(F.sum(power(k) * F.col("y")).alias(f"t{k}") for k in range(3)))
+
+
+def bass_of_sums(s: Sequence[float], t: Sequence[float]) -> dict | None:
+    """p, q, m of the quadratic of yearly adoptions in cumulative ones, from its normal equations: the market is where
+    adoptions come back to zero. None where the parabola has no such root."""
+    scale = math.sqrt(s[2] / s[0]) if s[0] and s[2] else 1.0
+    normal = np.array([[s[i + j] / scale ** (i + j) for j in range(3)] for i in range(3)])
+    start, linear, bend = np.linalg.lstsq(normal, np.array([t[i] / scale**i for i in range(3)]), rcond=None)[0] / scale ** np.arange(3)
+    inside = linear**2 - 4 * bend * start
+    if bend >= 0 or inside <= 0:
         return None
-    m = (-b - math.sqrt(b * b - 4 * a * c)) / (2 * a)
-    p, q = c / m, -m * a
-    return {"p": p, "q": q, "m": m, "method": "ols"} if p > 0 and q > 0 else None
+    market = (linear + math.sqrt(inside)) / (-2 * bend)
+    p, q = start / market, -bend * market
+    return {"p": float(p), "q": float(q), "m": float(market), "method": "ols"} if p > 0 and q > 0 else None
+
+
+def bass_by_differences(counts: np.ndarray) -> dict | None:
+    """The same of one series."""
+    before = np.cumsum(counts)[:-1].astype(float)
+    powers = before[None, :] ** np.arange(5)[:, None]
+    return bass_of_sums(powers.sum(axis=1), powers[:3] @ counts[1:].astype(float))
 
 
 def bass_by_curve(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
@@ -162,7 +194,7 @@ def bass(years: np.ndarray, counts: np.ndarray, draws: int = 500, seed: int = 0)
         if len(peaks) >= draws // 2:
             low, high = (float(v) for v in np.quantile(peaks, [0.1, 0.9]))
     except (np.linalg.LinAlgError, FloatingPointError, ValueError):
-        fit = bass_by_differences(years, counts)
+        fit = bass_by_differences(counts)
         if fit is None:
             return {**none, "m": float(counts.sum() * 1.5), "p": 0.03, "q": 0.38, "method": "fallback"}
         p, q, m, method = fit["p"], fit["q"], fit["m"], "ols"

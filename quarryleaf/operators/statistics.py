@@ -169,35 +169,45 @@ def mann_kendall(series: DataFrame, by: str, x: str, y: str) -> DataFrame:
     return flat.groupBy(by, "n").agg(F.coalesce(F.sum("q.s"), F.lit(0.0)).alias("s"), F.percentile("q.m", 0.5).alias("sen_slope"))
 
 
+def rank_correlations(values: np.ndarray) -> np.ndarray:
+    """Autocorrelations of the average ranks at lags 1 to n - 1, all at once."""
+    _, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[at]
+    centred = ranks - ranks.mean()
+    power = centred @ centred
+    return np.correlate(centred, centred, "full")[len(values) :] / power if power else np.zeros(len(values) - 1)
+
+
+def variance_inflation(y: np.ndarray, slope: float) -> float:
+    """How much serial correlation of the detrended ranks widens the variance of the sign sum: 1 + 2 / (n (n-1) (n-2)) *
+    sum of (n-i) (n-i-1) (n-i-2) r_i over the lags whose r_i leaves its white-noise band; 1 where that is not positive.
+    Lags that leave three values or more count."""
+    n = len(y)
+    lag = np.arange(1, n - 2)
+    left = n - lag
+    r = rank_correlations(y - slope * np.arange(n))[: len(lag)]
+    outside = np.abs(r + 1 / left) > 1.96 * np.sqrt(left - 1) / left
+    factor = 1 + 2 * float((left * (left - 1) * (left - 2) * r)[outside].sum()) / (n * (n - 1) * (n - 2))
+    return factor if factor > 0 else 1.0
+
+
 def trend_test(y: np.ndarray) -> dict[str, float]:
     """Mann-Kendall of one series: s, z, p, Sen's slope, and the same test with the variance inflated for serial
-    correlation of the detrended ranks (lags beyond the white-noise bound; ten values or more)."""
+    correlation (ten values or more)."""
     y = y[np.isfinite(y)]
     n = len(y)
     if n < 4:
         return {"s": 0.0, "z": 0.0, "p": 1.0, "slope": 0.0, "p_serial": 1.0, "factor": 1.0}
-    i, j = np.triu_indices(n, 1)
-    s, slope = float(np.sign(y[j] - y[i]).sum()), float(np.median((y[j] - y[i]) / (j - i)))
-    _, ties = np.unique(y, return_counts=True)
-    variance = (n * (n - 1) * (2 * n + 5) - (ties * (ties - 1) * (2 * ties + 5)).sum()) / 18
-
-    def test(v: float) -> tuple[float, float]:
-        z = (s - np.sign(s)) / math.sqrt(v) if v > 0 else 0.0
-        return float(z), 2 * normal_tail(abs(z)) if v > 0 else 1.0
-
-    factor = 1.0
-    if n >= 10:
-        flat = pd.Series(y - slope * np.arange(n)).rank().to_numpy()
-        flat = flat - flat.mean()
-        power, extra = float((flat**2).sum()), 0.0
-        for lag in range(1, n - 2) if power > 0 else ():
-            rho, m = float((flat[:-lag] * flat[lag:]).sum() / power), n - lag
-            if abs(rho + 1 / m) > 1.96 * math.sqrt(m - 1) / m:
-                extra += m * (m - 1) * (m - 2) * rho
-        factor = 1 + 2 * extra / (n * (n - 1) * (n - 2))
-        factor = factor if factor > 0 else 1.0
-    z, p = test(variance)
-    return {"s": s, "z": z, "p": p, "slope": slope, "p_serial": test(variance * factor)[1], "factor": factor}
+    later, earlier = np.tril_indices(n, -1)
+    rise = y[later] - y[earlier]
+    s, slope = float(np.sign(rise).sum()), float(np.median(rise / (later - earlier)))
+    tied = np.unique(y, return_counts=True)[1]
+    spread = lambda k: k * (k - 1) * (2 * k + 5) / 18
+    variance = float(spread(n) - spread(tied).sum())
+    factor = variance_inflation(y, slope) if n >= 10 else 1.0
+    z = (s - np.sign(s)) / np.sqrt(np.array([variance, variance * factor])) if variance > 0 else np.zeros(2)
+    p, p_serial = (2 * normal_tail(abs(v)) if variance > 0 else 1.0 for v in z)
+    return {"s": s, "z": float(z[0]), "p": p, "slope": slope, "p_serial": p_serial, "factor": factor}
 
 
 def trends(series: DataFrame, by: str, x: str, y: str, serial: bool = False) -> DataFrame:

@@ -117,13 +117,19 @@ STOP_WORDS = (
 
 
 def zipf(docs: DataFrame, text_col: str = "text", most: int = 500, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
-    """(rank, word, n, gamma, r2): the most frequent words of [a-z]{3,} without stop words (ties: by word), and the
-    slope and fit of log10 frequency over log10 rank among them."""
-    words = docs.select(F.explode(tokens(F.col(text_col))).alias("word")).where(F.col("word").rlike("^[a-z]{3,}$") & ~F.col("word").isin(*stop))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    """(rank, word, n, ideal, gamma, intercept, r2, vocabulary, all_words): the most frequent words of [a-z]{3,} without
+    stop words (ties: by word), the first one's count over the rank, slope, height and fit of log10 frequency over log10
+    rank, distinct words left and all words of three letters or more. No rows for a vocabulary below ten."""
+    words = docs.select(F.explode(tokens(F.col(text_col))).alias("word")).where(F.col("word").rlike("^[a-z]{3,}$"))
+    every = words.groupBy("word").agg(F.count("*").alias("n"))
+    kept = ~F.col("word").isin(*stop)
+    size = every.agg(F.count_if(kept).alias("vocabulary"), F.sum("n").alias("all_words"))
+    counts = every.where(kept).orderBy(F.desc("n"), "word").limit(most)
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "word")))
-    fit = ranked.agg((-F.regr_slope(F.log10("n"), F.log10("rank"))).alias("gamma"), F.regr_r2(F.log10("n"), F.log10("rank")).alias("r2"))
-    return ranked.join(F.broadcast(fit))  # one row
+    x, y = F.log10("rank"), F.log10("n")
+    fit = ranked.agg((-F.regr_slope(y, x)).alias("gamma"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"), F.max("n").alias("_top"))
+    # one row each
+    return ranked.join(F.broadcast(fit)).join(F.broadcast(size)).where("vocabulary >= 10").withColumn("ideal", F.col("_top") / F.col("rank")).drop("_top")
 
 
 def class_tfidf(docs: DataFrame, epoch: str, theme: str, text_col: str = "text", top: int = 5, least_docs: int = 10, vocabulary: int = 1500, stop: Sequence[str] = STOP_WORDS) -> DataFrame:
@@ -185,6 +191,48 @@ def article_atypicality(docs: DataFrame, keywords: str, id_col: str, vocabulary:
     return _within(_vocabulary(docs, keywords, id_col, vocabulary)).join(z, ["k1", "k2"]).groupBy("id").agg(F.min("z").alias("low"), F.percentile("z", 0.5).alias("middle"))
 
 
+def atypical_hits(docs: DataFrame, keywords: str, id_col: str, cites: str, vocabulary: int = 50) -> DataFrame:
+    """(id, low, middle, atypical, conventional, citations, hit) of every document: z 0 without a pair; atypical below
+    -0.5 at the least, conventional above 0 at the median; hit: citations (null as 0) at the 95th percentile or above."""
+    c = F.coalesce(F.col(cites), F.lit(0)).cast("double")
+    cut = docs.agg(F.percentile(c, 0.95).alias("_cut"))
+    z = article_atypicality(docs, keywords, id_col, vocabulary)
+    rows = docs.select(F.col(id_col).alias("id"), c.alias("citations")).join(z, "id", "left").fillna(0.0, ["low", "middle"]).join(F.broadcast(cut))  # one row
+    return rows.select("id", "low", "middle", (F.col("low") < -0.5).alias("atypical"), (F.col("middle") > 0).alias("conventional"), "citations", (F.col("citations") >= F.col("_cut")).alias("hit"))
+
+
+def hit_rates(scored: DataFrame) -> DataFrame:
+    """One row: percent of hits among documents both atypical and conventional, and among all; 0 for none."""
+    both = F.col("atypical") & F.col("conventional")
+    rate = lambda c: F.round(100 * F.coalesce(c, F.lit(0.0)), 1)
+    return scored.agg(rate(F.avg(F.when(both, F.col("hit").cast("double")))).alias("high_atypical"), rate(F.avg(F.col("hit").cast("double"))).alias("baseline"))
+
+
+def multi_label(docs: DataFrame, text_col: str, patterns: Mapping[str, str]) -> DataFrame:
+    """One row: documents with a class, with two or more, and their share in percent (0 for none)."""
+    n = docs.select(sum((c.cast("int") for c in flags(F.col(text_col), patterns)), F.lit(0)).alias("n"))
+    got = n.agg(F.count_if(F.col("n") >= 1).alias("classified"), F.count_if(F.col("n") >= 2).alias("several"))
+    return got.select("classified", "several", F.coalesce(F.try_divide(100.0 * F.col("several"), "classified"), F.lit(0.0)).alias("percent"))
+
+
+def multi_label_by_year(docs: DataFrame, text_col: str, patterns: Mapping[str, str], year: str = "year", low: int = 2005, high: int = 2026) -> DataFrame:
+    """(year, one, several, percent): classified documents of one class and of more, a year."""
+    n = docs.where(F.col(year).between(low, high)).select(F.col(year).alias("year"), sum((c.cast("int") for c in flags(F.col(text_col), patterns)), F.lit(0)).alias("n")).where("n >= 1")
+    got = n.groupBy("year").agg(F.count_if(F.col("n") == 1).alias("one"), F.count_if(F.col("n") >= 2).alias("several"))
+    return got.select("*", F.round(100.0 * F.col("several") / (F.col("one") + F.col("several")), 1).alias("percent"))
+
+
+def class_subjects(docs: DataFrame, id_col: str, text_col: str, patterns: Mapping[str, str], per: int = 12, seed: int = 0) -> DataFrame:
+    """(class, id): for review, `per` documents of each class, and of those without any as "unclassified", in the order of
+    a seeded digest; a document stands under each of its classes."""
+    names = F.array(*(F.when(F.coalesce(F.col(text_col).rlike(p), F.lit(False)), F.lit(n)) for n, p in patterns.items()))
+    found = F.filter(names, lambda x: x.isNotNull())
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("unclassified")))).alias("class"))
+    order = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed))).cast("binary"))
+    w = Window.partitionBy("class").orderBy(order, "id")
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per).select("class", "id")
+
+
 def _vocabulary(docs: DataFrame, keywords: str, id_col: str, n: int) -> DataFrame:
     every = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(keywords, lambda k: F.lower(F.trim(k))))).alias("kw")).where("kw <> ''")
     top = every.groupBy("kw").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kw").limit(n).select("kw")

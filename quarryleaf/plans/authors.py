@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryleaf.operators import authors as op
-from quarryleaf.plans.adapters import AUTHORS, author_rows, table
+from quarryleaf.plans.adapters import ARTICLES, AUTHORS, articles, author_rows, table
 from quarryleaf.registry import query
 
 
@@ -120,3 +120,9 @@ s AS (SELECT g.author, coalesce(regr_slope(coalesce(n, 0), g.year), 0) AS b FROM
 SELECT author, round(b, 6) AS slope, CASE WHEN b > 0.15 THEN 'growing' WHEN b < -0.15 THEN 'falling' ELSE 'stable' END AS trend FROM s""")
 def _(spark, d):
     return rounded(op.productivity_trend(op.by_year(author_rows(spark, d))), 6, "slope")
+
+
+@query("correlation_by_source", f"WITH {ARTICLES}, k AS (SELECT source, citation_count AS x, reference_count AS y FROM articles WHERE citation_count IS NOT NULL AND reference_count IS NOT NULL), r AS (SELECT source, x, y, rank() OVER (PARTITION BY source ORDER BY x) + (count(*) OVER (PARTITION BY source, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY source ORDER BY y) + (count(*) OVER (PARTITION BY source, y) - 1) / 2.0 AS ry FROM k) SELECT source, count(*) AS n, round(corr(x, y), 5) AS pearson, round(corr(rx, ry), 5) AS spearman FROM r GROUP BY 1")
+def _(spark, d):
+    out = op.correlations_by(articles(spark, d), "source", "citation_count", "reference_count")
+    return out.select("source", "n", F.round("pearson", 5).alias("pearson"), F.round("spearman", 5).alias("spearman"))

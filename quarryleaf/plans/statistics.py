@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryleaf.operators import forecasting as fc
+from quarryleaf.operators import regression
 from quarryleaf.operators import statistics as op
-from quarryleaf.plans.adapters import ARTICLES, articles, table
+from quarryleaf.plans.adapters import ARTICLES, articles, keyword_rows, table
 from quarryleaf.plans.text import rounded
 from quarryleaf.registry import query
 
@@ -175,3 +176,41 @@ def _(spark, d):
 def _(spark, d):
     """A non-linear fit; checked in tests on curves of known parameters."""
     return fc.bass_fits(yearly(spark, d), "k", "year", "n")
+
+
+def count_rows(spark, d):
+    """Counts with an age and two features."""
+    return articles(spark, d).select(F.floor(F.coalesce("citation_count", F.lit(0)) / 10).alias("y"), (2002 - F.col("year")).alias("age"), (F.col("reference_count") % 4).alias("refs"), (F.col("source") == "F").cast("int").alias("is_f"))
+
+
+@query("count_regression_fit")
+def _(spark, d):
+    """Rounds of sums; checked in tests against a fit of all rows in one place."""
+    out = regression.pseudo_r_squared(count_rows(spark, d), "y", ["refs", "is_f"], F.ln(F.greatest("age", F.lit(1)) + 1))
+    return rounded(out, 5, "deviance", "null_deviance", "pseudo_r2")
+
+
+@query("age_sensitivity")
+def _(spark, d):
+    """Three fits with other exposures; checked in tests against fits in one place."""
+    return rounded(regression.age_sensitivity(count_rows(spark, d), "y", ["refs", "is_f"], "age"), 5, "aic", "coefficient", "p")
+
+
+@query("signs_agree", "WITH s AS (SELECT l_returnflag AS spec, p_brand AS f, corr(l_quantity, l_discount) AS c FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 2 = 0 GROUP BY 1, 2) SELECT (SELECT max(n) FROM (SELECT count(DISTINCT sign(c)) AS n FROM s WHERE c IS NOT NULL AND NOT isnan(c) GROUP BY f)) <= 1 OR (SELECT count(DISTINCT spec) FROM s) < 2 AS agree")
+def _(spark, d):
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part").where("p_partkey % 2 = 0"), F.col("l_partkey") == F.col("p_partkey"))
+    return regression.signs_agree(lines.groupBy(F.col("l_returnflag").alias("specification"), F.col("p_brand").alias("feature")).agg(F.corr("l_quantity", "l_discount").alias("coefficient")))
+
+
+@query("keyword_forecasts")
+def _(spark, d):
+    """Chosen models of short series; checked in tests of the forecasts."""
+    return rounded(fc.keyword_forecasts(keyword_rows(spark, d), 20, 1995, 2000, [2001, 2002], [1999, 2000]), 4, "forecast", "variation")
+
+
+@query("bass_sums", """WITH y AS (SELECT l_partkey % 5 AS k, CAST(year(l_shipdate) AS INT) AS year, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT k, CAST(sum(n) OVER (PARTITION BY k ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE) AS x, n AS y FROM y)
+SELECT k, round(sum(1.0), 3) AS s0, round(sum(x), 3) AS s1, round(sum(x * x) / 1e6, 3) AS s2, round(sum(y), 3) AS t0, round(sum(x * y) / 1e6, 3) AS t1 FROM s WHERE x IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    rows = table(spark, d, "lineitem").groupBy((F.col("l_partkey") % 5).alias("k"), F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n"))
+    s = fc.bass_sums(rows, "k", "year", "n")
+    return s.select("k", *(F.round(c, 3).alias(c) for c in ("s0", "s1")), F.round(F.col("s2") / 1e6, 3).alias("s2"), F.round("t0", 3).alias("t0"), F.round(F.col("t1") / 1e6, 3).alias("t1"))

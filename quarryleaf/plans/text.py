@@ -80,9 +80,9 @@ _STOP = ", ".join(f"'{w}'" for w in op.STOP_WORDS)
 
 
 @query("zipf_law", rf"""WITH w AS (SELECT unnest(regexp_extract_all(lower(text), {_T})) AS word FROM documents), c AS (SELECT word, count(*) AS n FROM w WHERE regexp_full_match(word, '[a-z]{{3,}}') AND word NOT IN ({_STOP}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 500),
-r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM c) SELECT word, n, CAST(rank AS INT) AS rank, round((SELECT -regr_slope(log10(n), log10(rank)) FROM r), 6) AS gamma, round((SELECT regr_r2(log10(n), log10(rank)) FROM r), 6) AS r2 FROM r""")
+r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM c) SELECT word, n, CAST(rank AS INT) AS rank, round((SELECT -regr_slope(log10(n), log10(rank)) FROM r), 6) AS gamma, round((SELECT regr_r2(log10(n), log10(rank)) FROM r), 6) AS r2, round((SELECT regr_intercept(log10(n), log10(rank)) FROM r), 6) AS intercept, round((SELECT max(n) FROM r) / rank, 6) AS ideal, (SELECT count(DISTINCT word) FROM w WHERE regexp_full_match(word, '[a-z]{{3,}}') AND word NOT IN ({_STOP})) AS vocabulary, (SELECT count(*) FROM w WHERE regexp_full_match(word, '[a-z]{{3,}}')) AS all_words FROM r""")
 def _(spark, d):
-    return rounded(op.zipf(table(spark, d, "documents")), 6, "gamma", "r2")
+    return rounded(op.zipf(table(spark, d, "documents")), 6, "gamma", "r2", "intercept", "ideal")
 
 
 @query("class_tfidf", rf"""WITH {_DOCS}, e AS (SELECT *, CASE WHEN year < 2010 THEN 1 WHEN year < 2018 THEN 2 ELSE 3 END AS epoch FROM d), big AS (SELECT epoch FROM e GROUP BY 1 HAVING count(*) >= 10 AND count(DISTINCT lang) >= 2),
@@ -118,6 +118,25 @@ def _(spark, d):
     return rounded(op.article_atypicality(keyword_docs(spark, d), "keywords", "doc_id"), 6, "low", "middle")
 
 
+_HITS = f"""{_KW}, m AS (SELECT id, min(z) AS low, quantile_cont(z, 0.5) AS middle FROM p JOIN z USING (k1, k2) GROUP BY 1), q AS (SELECT quantile_cont(CAST(n_chars % 50 AS DOUBLE), 0.95) AS cut FROM documents),
+hh AS (SELECT doc_id AS id, coalesce(low, 0) AS low, coalesce(middle, 0) AS middle, coalesce(low, 0) < -0.5 AS atypical, coalesce(middle, 0) > 0 AS conventional, CAST(n_chars % 50 AS DOUBLE) AS citations, n_chars % 50 >= cut AS hit FROM documents LEFT JOIN m ON m.id = doc_id, q)"""
+
+
+def _hits(spark, d):
+    docs = keyword_docs(spark, d).join(table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 50).alias("cites")), "doc_id")
+    return op.atypical_hits(docs, "keywords", "doc_id", "cites")
+
+
+@query("atypical_hits", f"WITH {_HITS} SELECT id, round(low, 6) AS low, round(middle, 6) AS middle, atypical, conventional, citations, hit FROM hh")
+def _(spark, d):
+    return rounded(_hits(spark, d), 6, "low", "middle")
+
+
+@query("atypical_hit_rates", f"WITH {_HITS} SELECT round(100 * coalesce(avg(CASE WHEN atypical AND conventional THEN CAST(hit AS INT) END), 0), 1) AS high_atypical, round(100 * avg(CAST(hit AS INT)), 1) AS baseline FROM hh")
+def _(spark, d):
+    return op.hit_rates(_hits(spark, d))
+
+
 #: The test texts hold none of the fixed patterns; these stand for a table of classes on them.
 CLASSES = {"A": r"the|ing", "B": r"ung|lich", "C": r"ent", "D": r"license|\bof\b"}
 _FLAGS = ", ".join(f"regexp_matches(lower(text), '{p}') AS c{i}" for i, p in enumerate(CLASSES.values()))
@@ -202,6 +221,24 @@ for _name, _patterns in (
     _fixed(_name, _patterns)
 
 
+_OBJ = f"{_PLANTED}, ob AS (SELECT doc_id, year, " + " + ".join(f"CAST(regexp_matches(text, '{_re(p)}') AS INT)" for p in tx.OBJECTIVES.values()) + " AS n FROM pl)"
+
+
+@query("objectives_together", f"WITH {_OBJ}, c AS (SELECT count(*) FILTER (n >= 1) AS classified, count(*) FILTER (n >= 2) AS several FROM ob) SELECT classified, several, round(coalesce(100.0 * several / nullif(classified, 0), 0), 6) AS percent FROM c")
+def _(spark, d):
+    return rounded(op.multi_label(planted(spark, d), "text", tx.OBJECTIVES), 6, "percent")
+
+
+@query("objectives_together_by_year", f"WITH {_OBJ}, c AS (SELECT year, count(*) FILTER (n = 1) AS one, count(*) FILTER (n >= 2) AS several FROM ob WHERE n >= 1 AND year BETWEEN 2005 AND 2026 GROUP BY 1) SELECT *, round(100.0 * several / (one + several), 1) AS percent FROM c")
+def _(spark, d):
+    return op.multi_label_by_year(planted(spark, d), "text", tx.OBJECTIVES)
+
+
+@query("taxonomy_subjects", f"WITH {_PLANTED}, c AS (" + " UNION ALL ".join(f"SELECT doc_id, '{n}' AS class FROM pl WHERE regexp_matches(text, '{_re(p)}')" for n, p in tx.OPTIMIZATION_METHODS.items()) + "), u AS (SELECT * FROM c UNION ALL SELECT doc_id, 'unclassified' FROM pl WHERE doc_id NOT IN (SELECT doc_id FROM c)) SELECT class, doc_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY md5(doc_id || '|3'), doc_id) AS r FROM u) WHERE r <= 12")
+def _(spark, d):
+    return op.class_subjects(planted(spark, d), "doc_id", "text", tx.OPTIMIZATION_METHODS, seed=3)
+
+
 @query("feeder_resources", f"WITH {_PLANTED} " + " UNION ALL ".join(f"SELECT '{a}' AS \"row\", '{b}' AS \"column\", count(*) FILTER (regexp_matches(text, '{_re(p)}') AND regexp_matches(text, '{_re(q)}')) AS articles FROM pl" for a, p in tx.BENCHMARK_FEEDERS.items() for b, q in tx.FEEDER_RESOURCES.items()))
 def _(spark, d):
     return op.co_occurrence(planted(spark, d), "text", tx.BENCHMARK_FEEDERS, tx.FEEDER_RESOURCES)

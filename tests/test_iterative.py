@@ -6,6 +6,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quarryleaf.operators import authors, forecasting, graphs, joins, statistics, text, vectors
 
@@ -212,3 +213,97 @@ def test_lotka(spark):
     rows = [(k,) for level, count in ((1, 64), (2, 16), (4, 4), (8, 1)) for k in [level] * count]
     got = authors.lotka(spark.createDataFrame(rows, "n long")).first()
     assert got.alpha == pytest.approx(2) and got.c == pytest.approx(64) and got.r2 == pytest.approx(1)
+
+
+def test_distributed_regression(spark):
+    """Rounds of sums give the coefficients of a fit in one place, and known deviances."""
+    from quarryleaf.operators import regression
+
+    rng = np.random.default_rng(11)
+    x, age = rng.normal(size=1200), rng.integers(1, 20, 1200)
+    y = rng.poisson(np.exp(0.4 + 0.6 * x) * (age + 1)).astype(float)
+    frame = spark.createDataFrame(pd.DataFrame({"y": y, "x": x, "age": age.astype(float)})).unionByName(spark.createDataFrame([(None, 1.0, 1.0)], "y double, x double, age double"))
+    offset = F.ln(F.col("age") + 1)
+    for alpha, family in ((0.0, "poisson"), (0.3, "nb")):
+        fit = regression.count_regression(frame, "y", ["x"], offset, alpha)
+        beta, mu = statistics.fit_counts(y, np.column_stack([np.ones(1200), x]), np.log(age + 1), family, alpha)
+        assert fit.beta == pytest.approx(beta, abs=1e-6) and fit.rows == 1200
+        assert fit.log_likelihood == pytest.approx(float(statistics._log_count(y, mu, alpha).sum()), rel=1e-8)
+        assert 0 < fit.pseudo_r_squared() < 1 and fit.errors[1] > 0
+        safe = np.where(y > 0, y, 1)
+        part = np.where(y > 0, y * np.log(safe / mu), 0)
+        want = 2 * (part - (y - mu)) if alpha == 0 else 2 * (part - (y + 1 / alpha) * np.log((1 + alpha * y) / (1 + alpha * mu)))
+        assert fit.deviance == pytest.approx(float(want.sum()), rel=1e-8)
+    rows = regression.age_sensitivity(frame, "y", ["x"], "age").collect()
+    assert [r.specification for r in rows] == list(regression.AGES) and all(abs(r.coefficient - 0.6) < 0.05 and r.p < 1e-6 for r in rows)
+    assert regression.signs_agree(regression.age_sensitivity(frame, "y", ["x"], "age")).first().agree
+    flipped = spark.createDataFrame([("a", "x", 1.0), ("b", "x", -1.0), ("b", "z", float("nan"))], "specification string, feature string, coefficient double")
+    assert not regression.signs_agree(flipped).first().agree and regression.signs_agree(flipped.where("specification = 'a'")).first().agree
+    assert regression.count_regression(frame.limit(2), "y", ["x"]) is None and regression.pseudo_r_squared(frame.limit(0), "y", ["x"]).first().pseudo_r2 is None
+
+
+def test_weighted_fits_equal_repeated_rows():
+    rng = np.random.default_rng(12)
+    values = np.floor(2 * (1 - rng.random(400)) ** (-1 / 1.5))
+    v, n = np.unique(values, return_counts=True)
+    assert statistics.fit_tail(values, 10) == statistics.fit_tail(v, 10, counts=n)
+    y, x = rng.poisson(2, 300).astype(float), rng.integers(0, 3, 300).astype(float)
+    cells, n = np.unique(np.column_stack([y, x]), axis=0, return_counts=True)
+    one = statistics.count_families(y, np.column_stack([np.ones(300), x]), np.zeros(300))
+    two = statistics.count_families(cells[:, 0], np.column_stack([np.ones(len(cells)), cells[:, 1]]), np.zeros(len(cells)), n)
+    for f in one:
+        assert one[f]["aic"] == pytest.approx(two[f]["aic"], rel=1e-6) and one[f]["beta"] == pytest.approx(two[f]["beta"], abs=1e-5)
+
+
+def test_running_totals(spark):
+    from quarryleaf.operators.running import running_totals
+
+    rng = np.random.default_rng(13)
+    rows = [(int(k), int(v)) for k, v in zip(rng.permutation(500), rng.integers(0, 9, 500), strict=True)]
+    got = {r.k: (r.up, r.place) for r in running_totals(spark.createDataFrame(rows, "k int, v int").repartition(7), [F.desc("k")], {"up": F.col("v"), "place": F.lit(1)}).collect()}
+    total = 0
+    for place, (k, v) in enumerate(sorted(rows, reverse=True), 1):
+        total += v
+        assert got[k] == (total, place)
+
+
+def test_bass_from_sums(spark):
+    from quarryleaf.operators import forecasting
+
+    t = np.arange(20)
+    counts = np.diff(forecasting.cumulative_bass(np.append(t, 20).astype(float), 0.02, 0.4, 900.0))
+    one = forecasting.bass_by_differences(counts)
+    s = forecasting.bass_sums(spark.createDataFrame([("a", int(2000 + i), float(c)) for i, c in enumerate(counts)], "k string, y int, n double"), "k", "y", "n").first()
+    two = forecasting.bass_of_sums([s[f"s{k}"] for k in range(5)], [s[f"t{k}"] for k in range(3)])
+    assert all(one[k] == pytest.approx(two[k], rel=1e-6) for k in "pqm") and one["m"] == pytest.approx(900, rel=0.05)
+    assert forecasting.bass_by_differences(np.array([1.0, 2, 4, 8, 16])) is None
+
+
+def test_serial_correction_against_a_loop():
+    rng = np.random.default_rng(14)
+    for _ in range(20):
+        y = np.cumsum(rng.normal(size=14)) + rng.integers(0, 3, 14)
+        slope = statistics.trend_test(y)["slope"]
+        ranks = pd.Series(y - slope * np.arange(14)).rank().to_numpy()
+        ranks = ranks - ranks.mean()
+        extra = 0.0
+        for lag in range(1, 12):
+            r = (ranks[:-lag] * ranks[lag:]).sum() / (ranks**2).sum()
+            if abs(r + 1 / (14 - lag)) > 1.96 * math.sqrt(13 - lag) / (14 - lag):
+                extra += (14 - lag) * (13 - lag) * (12 - lag) * r
+        factor = 1 + 2 * extra / (14 * 13 * 12)
+        assert statistics.variance_inflation(y, slope) == pytest.approx(factor if factor > 0 else 1.0)
+
+
+def test_passages_are_found_as_written(spark):
+    docs = spark.createDataFrame([(1, "xThat one, two three four five six seven. End"), (2, "That one two three"), (3, None), (4, "say a b now"), (5, "That one, two three four five six sevens")], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "That one, two three four five six seven"), (2, "a b"), (3, ""), (4, None), (5, "one, two three four five six seven")], "query_id long, query string")
+    want = {(r.query_id, r.doc_id) for r in docs.join(asked, F.contains("text", "query")).where("query <> ''").collect()}
+    assert {(r.query_id, r.doc_id) for r in text.containing(docs, asked).collect()} == want and len(want) == 5
+
+
+def test_chunks_of_the_rule():
+    """Worked by hand: trimmed first; a cut lies one behind the start of a blank line."""
+    body = "  " + "a" * 900 + "\n\n" + "b" * 900 + "  "
+    assert text.chunk(body) == ["a" * 900, "a" * 199 + "\n\n" + "b" * 900]
+    assert text.chunk("x" * 1490 + ". " + "y" * 100)[0] == "x" * 1490 + "." and text.chunk(" \n ") == []
