@@ -18,18 +18,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryleaf.llm import textbuf
-from quarryleaf.llm.common import Rows, batches, bitmap, bits_for, discard, heavy_left_join, in_bits, written
+from quarryleaf.llm.common import HEAVY_SHARE, Rows, batches, bitmap, bits_for, discard, heavy_left_join, in_bits, written
 from quarryleaf.llm.components import components, roots
 
 #: Documents of a group: a bound on what a task holds at once. Parts beyond those that links may destroy, as a factor.
 GROUP_SIZE = 64
 #: Groups of a cell that meet in one task, of either side.
 CELL_BLOCK = 128
+#: Shares that the rows of a heavy cell are dealt in.
+CELL_SALTS = 64
 _SLACK = 1.3
 _FOREVER = 1 << 40
 
@@ -208,6 +210,11 @@ def open_group(queries: pa.StructArray, asked: np.ndarray, group: pa.StructArray
     return q_out, x_out
 
 
+def salted(cells: DataFrame, hot: Column) -> DataFrame:
+    """Cells with a salt: 0, or for hot ones a copy for each of 1 to CELL_SALTS."""
+    return cells.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(1), F.lit(CELL_SALTS))).otherwise(F.array(F.lit(0)))))
+
+
 class Firsts:
     """The rows that are no copy of one with a smaller key, each key once, read anew from the source each time they are
     worked on: one Python step does the choosing and the work. Rows that the bitmaps leave open and rows that may share
@@ -259,8 +266,9 @@ class Firsts:
 def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
     """(node, comp) of the representatives that share a cell with others; one without any such row is alone."""
 
-    def cells(keep):
+    def cells(keep, heavy: np.ndarray | None = None):
         def run(it):
+            hot = np.zeros(0, np.uint64) if heavy is None else heavy
             for b in batches(it):
                 tokens, off = token_sets(b.column("text"), shingle)
                 ids = b.column("key").to_numpy(zero_copy_only=False)
@@ -269,7 +277,9 @@ def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
                     row, sig, kind = (row, sig, kind) if some is None else (row[some], sig[some], kind[some])
                     for a in range(0, len(row), 1 << 16):
                         z = slice(a, a + (1 << 16))
-                        yield pa.RecordBatch.from_arrays([_long(sig[z]), _long(ids[row[z]]), pa.array(kind[z])], ["sig", "node", "kind"])
+                        node = ids[row[z]]
+                        salt = np.where(np.isin(sig[z], hot), 1 + textbuf.mix(node.astype(np.uint64)) % np.uint64(CELL_SALTS), 0).astype(np.int16)
+                        yield pa.RecordBatch.from_arrays([_long(sig[z]), _long(node), pa.array(kind[z]), pa.array(salt)], ["sig", "node", "kind", "salt"])
 
         return run
 
@@ -288,14 +298,17 @@ def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("key"), _long(np.diff(off)), rows_of(short.astype(np.uint16).view(np.int16), s_off, pa.int16())], ["node", "n", "marks"])
 
     # cells that two documents have: counted by signature alone; only their rows are told from the documents
-    shared = written(firsts.work(cells(lambda sig: None), "sig long, node long, kind short").groupBy("sig").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1"))
+    shared = written(firsts.work(cells(lambda sig: None), "sig long, node long, kind short, salt short").groupBy("sig").agg(F.count("*").alias("rows"), F.min("node").alias("head")).where("rows > 1"))
     found = shared.agg(F.count("*").alias("n"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     size = bits_for(found.n)
     mask = np.uint64((1 << size) - 1)
     again = firsts.spark.sparkContext.broadcast(bitmap(shared.select(F.col("sig").bitwiseAND(F.lit(int(mask))).alias("pos")), size))
-    cell = firsts.work(cells(lambda sig: in_bits(again.value, (sig & mask).astype(np.int64))), "sig long, node long, kind short")
-    members = written(heavy_left_join(cell, shared, ["sig"], "rows", found["rows"]).where("rows is not null").select(
-        "sig", "node", "rows", "head", (F.col("kind") % 2).alias("side"), F.expr("kind div 2").alias("least")))
+    # the rows of a heavy cell (1 / HEAVY_SHARE of these at most) are dealt by their documents, and meet a copy of its row each
+    most = max(1.0, found["rows"] * HEAVY_SHARE)
+    heavy = np.array([r.sig for r in shared.where(F.col("rows") > most).select("sig").collect()], dtype=np.int64).view(np.uint64)
+    cell = firsts.work(cells(lambda sig: in_bits(again.value, (sig & mask).astype(np.int64)), heavy), "sig long, node long, kind short, salt short")
+    members = written(cell.join(salted(shared, F.col("rows") > most), ["sig", "salt"]).select(
+        "sig", "salt", "node", "rows", "head", (F.col("kind") % 2).alias("side"), F.expr("kind div 2").alias("least")))
     small = written(firsts.work(marks, "node long, n long, marks array<short>", members))
     num, den = F.lit(levels.num), F.lit(levels.den)
 
@@ -318,10 +331,10 @@ def _components(firsts: Firsts, shingle: int, levels: Levels) -> DataFrame:
     # a document shares `least` cells at least with each linked one: one of them is among its rarest, less `least` - 1
     own = Window.partitionBy("node", "side", "least")
     rare = members.withColumn("_at", F.row_number().over(own.orderBy("rows", "sig"))).withColumn("_of", F.count("*").over(own))
-    cells_ = rare.where("_at <= _of - least + 1").select("sig", "node").distinct()
+    cells_ = rare.where("_at <= _of - least + 1").select("sig", "salt", "node").distinct()
     placed = written(cells_.join(group_of, "node"))
-    crossing = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.count("*").alias("places")).where("low < top").select("sig", "places")
-    cross = written(heavy_left_join(placed, crossing, ["sig"], "places", placed.count()).where("places is not null").drop("places"))
+    crossing = placed.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("top"), F.max("salt").alias("salt")).where("low < top")
+    cross = written(placed.join(salted(crossing.select("sig", "salt"), F.col("salt") > 0), ["sig", "salt"], "left_semi").drop("salt"))
     discard(placed)
 
     # the groups, of at most GROUP_SIZE documents of one head (in expectation): members, and the union of their tokens
