@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryleaf.functions.categories import classify, preferred
 from quarryleaf.functions.names import abstract_text, countries, normal_doi
 from quarryleaf.operators import joins
+from quarryleaf.operators.curation import content_digest
 from quarryleaf.operators.text import chunked
 from quarryleaf.sources.files import bib_record, export_record
 
@@ -92,9 +93,8 @@ def reused_vectors(desired: DataFrame, previous: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> str:
-    """A version id: the digest of a manifest's rows in order. A manifest has one row for each file."""
-    rows = F.array_sort(F.collect_list(F.to_json(F.struct(*columns))))
-    return df.agg(F.sha2(F.array_join(rows, "\n").cast("binary"), 256).alias("d")).first()["d"]
+    """A digest of all rows, whatever their order and partitions, by groups of rows: no task or row holds all."""
+    return content_digest(df, columns).first().digest
 
 
 def write_version(df: DataFrame, root: str, table: str, version: str) -> None:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 from pyspark.sql.window import Window
 
+from quarryleaf.operators.running import cut
+
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
@@ -121,7 +123,7 @@ def zipf(docs: DataFrame, text_col: str = "text", most: int = 500, stop: Sequenc
     stop words (ties: by word), the first one's count over the rank, slope, height and fit of log10 frequency over log10
     rank, distinct words left and all words of three letters or more. No rows for a vocabulary below ten."""
     words = docs.select(F.explode(tokens(F.col(text_col))).alias("word")).where(F.col("word").rlike("^[a-z]{3,}$"))
-    every = words.groupBy("word").agg(F.count("*").alias("n"))
+    every = cut(words.groupBy("word").agg(F.count("*").alias("n")))  # texts are read once
     kept = ~F.col("word").isin(*stop)
     size = every.agg(F.count_if(kept).alias("vocabulary"), F.sum("n").alias("all_words"))
     counts = every.where(kept).orderBy(F.desc("n"), "word").limit(most)
@@ -138,7 +140,7 @@ def class_tfidf(docs: DataFrame, epoch: str, theme: str, text_col: str = "text",
     documents and two themes. `stop`: words left out; a general list of a language is the caller's, as a parameter."""
     big = docs.groupBy(epoch).agg(F.count("*").alias("d"), F.count_distinct(theme).alias("t")).where((F.col("d") >= least_docs) & (F.col("t") >= 2)).select(epoch)
     words = docs.join(big, epoch, "left_semi").select(epoch, theme, F.explode(tokens(F.col(text_col))).alias("term")).where((F.length("term") > 1) & ~F.col("term").isin(*stop))
-    tf = words.groupBy(epoch, theme, "term").agg(F.count("*").alias("tf"))
+    tf = cut(words.groupBy(epoch, theme, "term").agg(F.count("*").alias("tf")))  # texts are read once
     vocab = tf.groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(vocabulary).select("term")
     kept = tf.join(F.broadcast(vocab), "term")  # at most `vocabulary` rows
     e = Window.partitionBy(epoch)
